@@ -106,11 +106,11 @@ def pieces(texts: pa.Array | pa.ChunkedArray, limit: int = PIECE_BYTES) -> Itera
         at = to
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each row the index of its first word (one more entry than rows)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~IS_SPACE[data]
+    word = ~between[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
@@ -183,3 +183,11 @@ def grouped_offsets(keys: np.ndarray) -> np.ndarray:
         return np.zeros(1, np.int64)
     return np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])).astype(np.int64)
 
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, with as many underscores before it as no column of that name (in any case) needs."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

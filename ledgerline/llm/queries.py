@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import decontamination, mixing, near_dedup, quality, token_counts
 
 QUERIES = {
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op3_decontamination": decontamination.op3_decontamination,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op7_mixing": mixing.op7_mixing,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_mixing": mixing.ORACLE,
+}
