@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are compared as words in ASCII lower case without the punctuation of PUNCTUATION. Windows of MIN_MATCH words that a
+Texts are compared as lower-case words without the punctuation of PUNCTUATION. Windows of MIN_MATCH words that a
 document shares with a test item (Karp-Rabin hashes) are the seeds; seeds on one diagonal join to maximal matches, and the
 longest match is marked again and again, cut to what is still unmarked on both sides, until none of MIN_MATCH words is
 left. The marked share of the item is its coverage, whatever order its passages come in.
@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, free_name, grouped_offsets, pieces, rolling, ship, table, word_hashes, word_spans
+from .common import IS_SPACE, free_name, grouped_offsets, pieces, rolling, ship, table, word_hashes, word_spans
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -37,8 +38,7 @@ _LEAK = "array<struct<item_id:bigint,covered:bigint,words:bigint>>"
 
 def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For consecutive rows: first row, row after the last, 64-bit word hashes, index of each row's first word."""
-    for lo, hi, data, offsets in pieces(texts):
-        data = LOWER[data]
+    for lo, hi, data, offsets in pieces(pc.utf8_lower(texts)):
         starts, ends, first = word_spans(data, offsets, _BETWEEN)
         yield lo, hi, word_hashes(data, starts, ends), first
 
