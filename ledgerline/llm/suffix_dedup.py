@@ -33,7 +33,9 @@ LENGTH = 100
 SEED = 32
 SPAN = LENGTH - SEED + 1
 CONTEXT = SPAN - 1 + LENGTH
-CROWD = 5000
+#: Places of one anchor that a task matches in memory, at about 4 KB each.
+CROWD = 40_000
+STEP = 2000
 _FIRST = -(1 << 63)
 
 
@@ -136,7 +138,9 @@ def _match_group(b: pa.RecordBatch) -> pa.RecordBatch:
     """Whole groups of equal anchors: the spans that earlier texts also hold."""
     context, place, row, offset = _windows(b)
     order, rid = b.column("ord").to_numpy(), b.column("rid").to_numpy()
-    key = window_hashes(context, _BASES[0])[row, offset]
+    cuts = np.searchsorted(row, np.arange(0, len(context) + STEP, STEP))
+    parts = [window_hashes(context[i * STEP : (i + 1) * STEP], _BASES[0])[row[a:z] - i * STEP, offset[a:z]] for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    key = np.concatenate([*parts, np.zeros(0, np.uint64)])
     start = place[row] - offset
     by = np.lexsort((start, order[row], key))
     key, row, offset, start = key[by], row[by], offset[by], start[by]
