@@ -73,7 +73,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """The words of a text as an array; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
 def word_count(text: Column) -> Column:

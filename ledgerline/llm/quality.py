@@ -1,6 +1,6 @@
 """Quality rules, with DataFrame operations only: counting rules, and divergence from language references.
 
-A document's character classes and its language's common words are counted to two histograms. The references are the
+A document's character classes (those of CLASSES, bytes beyond one a character, and the other characters of words) and its language's common words are counted to two histograms. The references are the
 summed histograms of all documents of a language (languages outside LANGUAGES share the reference of all documents), and a
 document is rejected if the Jensen-Shannon distance (base 2) of either histogram to its reference exceeds its limit. The
 guards: the character histogram needs MIN_CHARS characters in words, the word histogram MIN_WORDS words, else the distance
@@ -30,7 +30,8 @@ COMMON = {
 }
 LANGUAGES = ("en", "de", "fr", "es")
 SYMBOLS = "[#*$%&|<>]"
-CLASSES = {"upper": r"\p{Lu}", "lower": "[a-z]", "beyond": r"[^\x00-\x7F]", "digit": "[0-9]", "point": r"[.,;:'\"()\-]", "symbol": SYMBOLS}
+CLASSES = {"upper": r"\p{Lu}", "point": r"[.,;:'\"()\-]", "symbol": SYMBOLS}
+LONGEST = max(len(w.encode()) for ws in COMMON.values() for w in ws)
 MIN_WORDS = 50
 MIN_CHARS = 200
 MAX_CHAR_DISTANCE = 0.2
@@ -71,6 +72,11 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def characters(text: Column, kind: str) -> Column:
+    """How many characters of a kind a text has. Counted by what is left without them: matches needn't become strings."""
+    return (F.char_length(text) - F.char_length(F.regexp_replace(text, f"{kind}+", ""))).cast("long")
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """docs with its counts and histograms; text may be null."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -79,16 +85,18 @@ def measured(docs: DataFrame) -> DataFrame:
     lang = F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).otherwise(F.lit(""))
     common = reduce(lambda c, k: c.when(lang == k, F.array(*map(F.lit, COMMON[k]))), LANGUAGES, F.when(F.lit(False), F.array(F.lit("")))).otherwise(F.array(*map(F.lit, COMMON[""])))
     rows = rows.withColumn("_common", common).withColumn("_group", lang)
-    found = F.filter(F.transform("_words", lambda w: F.lower(w)), lambda w: F.array_contains(F.col("_common"), w))
+    # All common words are short; the rest needn't be compared.
+    brief = F.filter("_words", lambda w: F.octet_length(w) <= LONGEST)
+    found = F.filter(F.transform(brief, lambda w: F.lower(w)), lambda w: F.array_contains(F.col("_common"), w))
     counts = _let(found, lambda f: F.transform("_common", lambda c: F.size(F.filter(f, lambda w: w == c)).cast("long")))
     n_words = F.size("_words").cast("long")
     rows = rows.withColumns({
         "n_words": n_words,
-        "word_chars": (F.char_length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        "word_chars": F.char_length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": characters(text, SYMBOLS),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": repeated_words(F.col("_words")),
-        "_classes": F.array(*[F.regexp_count(text, F.lit(p)).cast("long") for p in CLASSES.values()]),
+        "_classes": F.array(*[characters(text, p) for p in CLASSES.values()], (F.octet_length(text) - F.char_length(text)).cast("long")),
         "_counts": counts,
     })
     used = F.aggregate("_classes", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -110,7 +118,7 @@ def references(rows: DataFrame) -> DataFrame:
     """Summed histograms by language: at most one row for each of LANGUAGES and one for all documents together."""
     every = rows.select(F.explode(F.array_distinct(F.array(F.col("_group"), F.lit("")))).alias("_group"), "_chars", "_common_words")
     sums = lambda c, n: F.array(*[F.coalesce(F.sum(F.get(c, i)), F.lit(0)) for i in range(n)])
-    return every.groupBy("_group").agg(sums("_chars", len(CLASSES) + 1).alias("_ref_chars"), sums("_common_words", len(COMMON["en"]) + 1).alias("_ref_words"))
+    return every.groupBy("_group").agg(sums("_chars", len(CLASSES) + 2).alias("_ref_chars"), sums("_common_words", len(COMMON["en"]) + 1).alias("_ref_words"))
 
 
 def distances(rows: DataFrame, refs: DataFrame) -> DataFrame:
