@@ -34,7 +34,7 @@ CLASSES = {"upper": r"\p{Lu}", "point": r"[.,;:'\"()\-]", "symbol": SYMBOLS}
 LONGEST = max(len(w.encode()) for ws in COMMON.values() for w in ws)
 MIN_WORDS = 50
 MIN_CHARS = 200
-MAX_CHAR_DISTANCE = 0.2
+MAX_CHAR_DISTANCE = 0.185
 MAX_WORD_DISTANCE = 0.35
 
 
