@@ -1 +1,3 @@
 """Imports the query modules, which register themselves."""
+
+from . import features  # noqa: F401
