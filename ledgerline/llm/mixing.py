@@ -6,7 +6,7 @@ ever in one task), and the sorted sequence is cut where the source's target is r
 takes whole epochs first and cuts the last one; the document that crosses the cut is taken if its middle lies before it.
 
 Cases: null source is a source of its own and sorts last; null, empty and blank texts have size 0 and are taken 0 times a
-word; null doc_ids share one key and are ordered by their text; rows that repeat a doc_id are mixed row by row; an empty
+word; rows with a null doc_id get their key from their text; rows that repeat a doc_id are mixed row by row; an empty
 table gives no rows. Extra columns are ignored by the query and kept by the stage.
 """
 
@@ -45,8 +45,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, times for each row of docs (doc_id, text, source)."""
     sized = docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"),
-        F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
-        F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))).alias("tie"),
+        F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.col("text")), F.lit("")))).alias("key"),
     )
     sized = stored(sized.withColumn("range", F.substring("key", 1, RANGE_DIGITS)), "sized")
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("words"))
@@ -55,7 +54,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     ranges = ranges.withColumn("base", F.coalesce(F.sum("words").over(order), F.lit(0))).drop("words")
     ranges = ranges.alias("r").join(goals.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).select("r.source", "range", "base", "source_size", "target")
     rows = sized.alias("s").join(ranges.alias("r"), F.col("s.source").eqNullSafe(F.col("r.source")) & (F.col("s.range") == F.col("r.range"))).select("s.*", "base", "source_size", "target")
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - epochs * F.col("source_size")

@@ -186,7 +186,11 @@ def shards(docs: DataFrame, path: str, length: int = LENGTH, size: int = SHARD,
             yield close()
 
     schema = f"shard long, first_slot long, n_sequences long, stride long, doc_ids array<{kind}>, parts array<int>, n_tokens array<int>, payload binary, sha256 string"
-    return slots.repartition("shard").sortWithinPartitions("shard", "slot").mapInArrow(pack, schema)
+    # Ranges of shards: the permutation fills them evenly, so their bounds are known without sampling.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = max(1, -(-total // size))
+    ranged = slots.repartitionById(n, F.floor(F.col("shard") * n / last).cast("int"))
+    return ranged.sortWithinPartitions("shard", "slot").mapInArrow(pack, schema)
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
