@@ -1,3 +1,3 @@
 """Imports the query modules, which register themselves."""
 
-from . import features  # noqa: F401
+from . import features, markets, monitoring, relations  # noqa: F401
