@@ -28,10 +28,10 @@ COORDINATES = 128
 ROWS = 4
 SIMILARITY = 0.8
 GROUP_ROWS = 2000
-#: Buckets of up to SMALL are checked pair by pair; members of larger ones get REFINED longer keys of FINE coordinates.
+#: Buckets of up to SMALL are checked pair by pair; larger ones by their leader and then by prefixes of rare cells.
 SMALL = 16
-REFINED = 128
-FINE = 16
+#: Counters of the cells' frequencies, which order them.
+SLOTS = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,19 +190,55 @@ def components(links: DataFrame, label: str = "cc") -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("class")).select(F.col("u").alias("node"), "class")
 
 
-def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Longer keys: REFINED tables, each of FINE coordinates of the signature."""
-    draw = np.random.default_rng(5)
-    sets = np.stack([draw.permutation(COORDINATES)[:FINE] for _ in range(REFINED)])
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """slot and n: how many cells of the task's texts fall into each slot."""
+    counts = np.zeros(SLOTS, np.int64)
     for b in batches:
-        for lo, hi, cells, offsets in weighted_cells(b.column("text")):
-            signatures = dart_signatures(cells, offsets)
-            keys = np.zeros((hi - lo, REFINED), np.uint64)
-            for j in range(FINE):
-                keys = mix(keys + signatures[:, sets[:, j]])
-            keys = mix(keys + np.arange(REFINED, dtype=np.uint64) * _GOLD)
-            ids = b.column("doc_id").slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(hi - lo), REFINED))), pa.array(keys.reshape(-1).view(np.int64))], names=["doc_id", "key"])
+        for _, _, cells, _ in weighted_cells(b.column("text")):
+            counts += np.bincount((cells % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+
+
+def rare_prefixes(cells: np.ndarray, offsets: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, cell, size of the row and largest partner: the prefixes in which similar rows must share a cell.
+
+    Cells are ordered by (common of their slot, cell). Rows of n and m cells with the similarity t share t / (1 + t) (n + m) or more, and all
+    of these come at or after the first one they share; at place i of n that allows partners of up to (n - i) (1 + t) / t - n cells.
+    """
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((cells, common[(cells % np.uint64(SLOTS)).astype(np.int64)], row))
+    place = np.arange(len(cells)) - np.repeat(offsets[:-1], size)
+    n = size[row]
+    most = np.floor((n - place) * ((1 + SIMILARITY) / SIMILARITY) - n + 1e-6).astype(np.int64)
+    keep = most >= SIMILARITY * n - 1e-6
+    return row[keep], cells[order][keep], n[keep], most[keep]
+
+
+def _prefixes(common: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, cells, offsets in weighted_cells(b.column("text")):
+                row, cell, n, most = rare_prefixes(cells, offsets, common)
+                of = pa.array(row + lo)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(of), b.column("class").take(of), pa.array(cell.view(np.int64)), pa.array(n), pa.array(most)], names=["doc_id", "class", "cell", "n", "most"])
+
+    return run
+
+
+def rare_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a > b) of texts (doc_id, class, text) with different classes: all that can be similar, by the cells that their prefixes share."""
+    common = np.zeros(SLOTS, np.uint8)
+    counts = texts.select("text").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # at most SLOTS rows
+    common[counts.column("slot").to_numpy()] = np.floor(4 * np.log2(counts.column("n").to_numpy()))
+    rows = stored(texts.mapInArrow(_prefixes(common), "doc_id long, class long, cell long, n long, most long"), "prefixes")
+    useful = rows.groupBy("cell").agg((F.min("class") < F.max("class")).alias("mixed"), F.bool_or(F.col("most") >= F.col("n")).alias("strong")).where("mixed and strong").select("cell")
+    rows = stored(rows.join(useful, "cell", "left_semi"), "mixed")
+    # The shorter row of a pair allows the longer one, so it allows its own size as well.
+    short = rows.where("most >= n").toDF(*[f"s_{c}" for c in rows.columns])
+    fits = (F.col("cell") == F.col("s_cell")) & (F.struct("n", "doc_id") > F.struct("s_n", "s_doc_id")) & (F.col("s_n") <= F.col("most")) & (F.col("n") <= F.col("s_most")) & (F.col("class") != F.col("s_class"))
+    return rows.join(short, fits).select(F.greatest("doc_id", "s_doc_id").alias("a"), F.least("doc_id", "s_doc_id").alias("b")).distinct()
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -227,9 +263,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of its class of near copies) for each row.
 
     Members of a band bucket are checked against the member that shares most buckets, which is the common original where there
-    is one, so a group of any size costs one check for each member; buckets of up to SMALL are checked pair by pair. What a
-    large bucket still hides, copies that are near each other and not near the leader, is found in the same two ways on
-    longer keys, which only texts of its own kind share.
+    is one, so a group of any size costs one check for each member; buckets of up to SMALL are checked pair by pair. Large
+    buckets whose members are still of several classes are open: of their members, all pairs of two classes that share a rare
+    cell where similar texts must share one are checked too, which misses none.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -242,11 +278,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stored(shared(reps), "members")
     scores = members.groupBy("doc_id").agg(F.sum("n").alias("score"))
     texts = stored(docs.join(scores, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    crowded = members.where(F.col("n") > SMALL).select("doc_id").distinct()
-    fine = stored(shared(texts.join(crowded, "doc_id", "left_semi").mapInArrow(_refine, "doc_id long, key long")), "fine")
-    pairs = stored(candidates(members, scores).unionByName(candidates(fine, fine.groupBy("doc_id").agg(F.sum("n").alias("score")))).distinct(), "pairs")
-    links = stored(verified(pairs, texts), "links")
+    links = stored(verified(stored(candidates(members, scores), "pairs"), texts), "links")
     classes = components(links)
+    crowded = stored(members.where(F.col("n") > SMALL).join(classes, F.col("doc_id") == F.col("node"), "left").select("doc_id", "key", F.coalesce("class", "doc_id").alias("class")), "crowded")
+    mixed = crowded.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+    open_ = crowded.join(mixed, "key", "left_semi").select("doc_id", "class").distinct()
+    waiting = stored(texts.join(open_, "doc_id").select("doc_id", "class", "text"), "open")
+    if not waiting.isEmpty():
+        more = stored(verified(stored(rare_pairs(waiting), "rare"), texts), "more")
+        classes = components(links.unionByName(more))
     own = copies.join(classes, copies.rep == classes.node, "left").select("digest", F.lit(True).alias("some"), F.coalesce("class", "rep").alias("class"))
     found = sketches.select("doc_id", "digest", "some").join(own, ["digest", "some"], "left")
     return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id"))

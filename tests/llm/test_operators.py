@@ -387,6 +387,25 @@ def test_near_dedup_of_a_large_group(spark):
     assert got == {0}
 
 
+def test_near_dedup_finds_the_pairs_inside_a_template_group(spark):
+    """Members on one template, each just under the threshold to every other and to the leader; two and two are near."""
+    template = [f"t{i}" for i in range(300)]
+
+    def filled(own):
+        return " ".join(w for k in range(7) for w in (*template[k * 34 : k * 34 + 34], f"{own[k]}"))
+
+    n = 400
+    slots = [[f"x{i}_{k}" for k in range(7)] for i in range(n)]
+    for i in range(0, n, 2):
+        slots[i + 1][0] = slots[i][0]
+    docs = [(i, filled(s)) for i, s in enumerate(slots)]
+    sets = [shingles(t) for _, t in docs]
+    near = lambda a, b: 9 * (sets[a] & sets[b]).total() >= 4 * (sets[a].total() + sets[b].total())
+    assert near(0, 1) and not near(1, 2) and not near(0, 2)
+    got = {r["doc_id"]: r["class_id"] for r in rows(near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert got == {i: i - i % 2 for i in range(n)}
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     common, a, b = (np.sort(rng.integers(1, 2**63, n).astype(np.uint64)) for n in (300, 60, 60))
