@@ -102,7 +102,7 @@ def value_rows(spark, folder):
 @query(f"""WITH {_VALUE} SELECT match_id, round(p * odds - 1, 6) AS ev, round(p - 1 / odds, 6) AS edge, round(greatest((p * odds - 1) / (odds - 1), 0), 6) AS kelly, round(greatest(least(0.25 * greatest((p * odds - 1) / (odds - 1), 0) * 1000, 25.0), 0), 2) AS stake,
  CASE WHEN p * odds - 1 >= 0.15 AND p >= 0.6 THEN 'very_high' WHEN p * odds - 1 >= 0.1 AND p >= 0.5 THEN 'high' WHEN p * odds - 1 >= 0.05 THEN 'medium' ELSE 'low' END AS confidence FROM c WHERE p - 1 / odds > 0.02""")
 def d50_value_bets(spark, folder):
-    """Value, Kelly fraction, capped stake and confidence of bets above a least edge."""
+    """Value, Kelly fraction, capped stake and confidence of bets above a least edge."""
     c = value_rows(spark, folder).where(F.col("p") - 1 / F.col("odds") > 0.02)
     p, o = F.col("p"), F.col("odds")
     ev, k = prices.expected_value(p, o), prices.kelly(p, o)

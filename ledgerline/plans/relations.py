@@ -186,7 +186,7 @@ def f9_predicates(spark, folder):
 @query(f"""WITH {PREDICTIONS}, n AS (SELECT sport, count(*) AS n, count(DISTINCT p) AS different, round(avg(p), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY sport ORDER BY doc_id DESC) AS rn FROM p) WHERE rn <= 50 GROUP BY sport)
 SELECT *, n >= 30 AND different < 5 AS constant_prior FROM n""")
 def a13_constant_prior(spark, folder):
-    """Too few distinct values among the last 50 of a group."""
+    """Too few distinct values among the last 50 of a group."""
     p = latest_by(predictions(spark, folder).select("sport", "doc_id", "p"), ["sport"], [F.desc("doc_id")], 50)
     n = p.groupBy("sport").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p").alias("different"), r6(F.avg("p")).alias("mean"))
     return n.withColumn("constant_prior", (F.col("n") >= 30) & (F.col("different") < 5))
@@ -194,7 +194,7 @@ def a13_constant_prior(spark, folder):
 
 @query("SELECT ps_key, price, share FROM (SELECT CASE WHEN rn <= 5 THEN CAST(p_partkey AS VARCHAR) ELSE 'other' END AS ps_key, round(sum(p_retailprice), 4) AS price, round(sum(p_retailprice) / any_value(total), 6) AS share FROM (SELECT p_partkey, p_retailprice, sum(p_retailprice) OVER () AS total, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) GROUP BY 1)")
 def t5_top_and_other(spark, folder):
-    """The top five and the remainder as `other` (T2, T5, T7, W6): a top-k and one total, no global window."""
+    """The top five and the remainder as `other` (T2, T5, W6): a top-k and one total, no global window."""
     p = table(spark, folder, "part").select("p_partkey", "p_retailprice")
     top = p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(5)
     total = p.agg(F.sum("p_retailprice").alias("total"))
