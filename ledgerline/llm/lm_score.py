@@ -1,22 +1,18 @@
 """LM scoring by prediction by partial matching (PPM) with a pretrained byte-context trie.
 
-The model text of a document is its words in ASCII lower case, each closed by a space symbol, and an end symbol. A byte is
-predicted from contexts of up to ORDER bytes, which reach back to the start of its word; the longest known context is
-asked first, escapes have the probability of method D (half a count for each distinct symbol), and the symbols that a
-longer context knows are excluded from the shorter one. Symbols that no context knows share what is left evenly.
+The model text of a document is its words in ASCII lower case, each closed by a space, and an end symbol. A byte is predicted from
+the ORDER bytes before it, which reach back across spaces into the words before (the start of a document counts as ORDER end
+symbols). The longest context that training texts hold is asked first; escapes have the probability of method D (half a
+count for each distinct symbol), and the symbols that a longer context knows are excluded from the shorter one. Symbols that no
+context knows share what is left evenly. A document's score is the sum of its bytes' log10 probabilities.
 
-Above the bytes lies one more level, the words as symbols of their own: a known word has (2 c - 1) / (2 N), an unknown one escapes with
-V / (2 N) to its bytes, and exclusion divides by the probability that the bytes leave to unknown words (one sum over the words).
+A byte's probability depends on its ORDER bytes of context and itself alone, one packed key of ORDER + 1 bytes. Blocks of documents are
+reduced to their distinct keys with training counts before anything is shuffled; counts are summed by key, every distinct key gets
+its code length in the group of its context's last two bytes, and a join takes the code lengths back to the blocks, which
+hold their texts compressed. Contexts of one byte or none have at most 65,536 cells, which are all that the driver holds.
 
-The pretrained model is adapted inside each document: with i words before it, u of them distinct, a word takes k / i (k: how often it
-came before) with weight i / (i + ADAPT u), and the pretrained probability with the rest, so that the sum over all words stays 1; the paces of ADAPT are mixed by their success in the document.
-
-The trie's code length of a word depends on the word alone, so the corpus is reduced in steps, each a group or a join on keys that
-were reduced before the shuffle: blocks of documents to their distinct words, words to their (context, symbol) pairs, pairs to
-code lengths, and back. Contexts are dealt by their last two bytes; contexts of one byte or none have at most 65,536
-cells, which are all that the driver ever holds.
-
-The base is a unigram model of the same tokens: log10((c + 0.1) / (N + 0.1 (V + 1))) summed over words and the end.
+The base is a unigram model of the tokens (words and the end): log10((c + 0.1) / (N + 0.1 (V + 1))) summed over them. Words are told apart inside a block by
+64-bit hashes and counted over blocks by their bytes.
 
 Documents whose crc32(doc_id) mod 10 is 0 are held out; the model learns from the others. Cases: null and empty texts have one
 token, the end; a null doc_id counts as an empty id text, which is held out; rows that repeat a doc_id are documents of their own;
@@ -25,139 +21,166 @@ without any training text every symbol has probability 1/256; an empty table giv
 
 from __future__ import annotations
 
-import math
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, partition_key, ship, stored, table
+from .common import LOWER, partition_key, prefix_hash, ship, span_hash, stored, table
 
 ORDER = 5
 SMOOTH = 0.1
-ADAPT = (4.0, 24.0, math.inf)
 HELD_OUT = 10
-BLOCK_TOKENS = 4_000_000
-BLOCK_WORDS = 200_000
+#: Text of a block, and of a chunk of it that is worked on at once.
+BLOCK_BYTES = 32 << 20
+CHUNK_BYTES = 1 << 20
 SYMBOLS = 256
 END = b"\n"
+KEY, WORD, BODY = 0, 1, 2
 _LOWER = bytes(LOWER)
+_NONE = np.zeros(0, np.int64)
 
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HELD_OUT == 0
 
 
-def packed_documents(docs: list, ids: list[np.ndarray]) -> bytes:
-    """Documents in one value (a block's other rows have no such column): count, doc_ids, which are null, lengths, word numbers."""
+def model_text(text: str | None) -> bytes:
+    return b" ".join([*(text or "").encode().translate(_LOWER).split(), END])
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The packed key of every byte of model texts laid end to end (context, then the byte, which is lowest), and their lengths."""
+    data = np.frombuffer(END * ORDER + (END * (ORDER - 1)).join(texts), np.uint8).astype(np.int64)
+    n = len(data) - ORDER
+    key = np.zeros(n, np.int64)
+    for j in range(ORDER + 1):
+        key = (key << 8) | data[j : j + n]
+    lengths = np.array([len(x) for x in texts], np.int64)
+    return key[np.arange(lengths.sum()) + np.repeat(np.arange(len(texts)) * (ORDER - 1), lengths)], lengths
+
+
+def tokens(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Model texts laid end to end, their tokens' hashes, starts and ends, and the token that each text starts with."""
+    flat = b"".join(texts)
+    data = np.frombuffer(flat, np.uint8)
+    ends = np.flatnonzero((data == 32) | (data == 10))
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    after = np.cumsum([len(x) for x in texts])
+    first = np.concatenate(([0], np.searchsorted(ends, after[:-1])))
+    return flat, span_hash(prefix_hash(data), starts, ends), starts, ends, first
+
+
+class Numbers:
+    """Numbers for hashes in the order of their chunks, so that a second walk over the same chunks gives the same numbers."""
+
+    def __init__(self):
+        self.hashes, self.numbers = np.zeros(0, np.uint64), _NONE
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each hash, and where those stand that are new, in the order of their numbers."""
+        own, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, own)
+        new = np.ones(len(own), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != own[inside]
+        fresh = len(self.hashes) + np.arange(int(new.sum()))
+        self.hashes, self.numbers = np.insert(self.hashes, at[new], own[new]), np.insert(self.numbers, at[new], fresh)
+        return self.numbers[np.searchsorted(self.hashes, own)][back], where[new]
+
+
+def packed(docs: list, texts: list[bytes]) -> bytes:
+    """Documents in one value: count, doc_ids, which are null, lengths, texts."""
     none = np.array([i is None for i in docs], np.int64)
     keys = np.array([0 if i is None else i for i in docs], np.int64)
-    lengths = np.array([len(x) for x in ids], np.int64)
-    return b"".join([np.array([len(docs)], np.int64).tobytes(), keys.tobytes(), none.tobytes(), lengths.tobytes(), np.concatenate(ids).astype("<i4").tobytes()])
+    lengths = np.array([len(x) for x in texts], np.int64)
+    return b"".join([np.array([len(docs)], np.int64).tobytes(), keys.tobytes(), none.tobytes(), lengths.tobytes(), *texts])
 
 
-def unpacked_documents(body: bytes) -> tuple[list, np.ndarray, np.ndarray]:
+def unpacked(body: bytes) -> tuple[list, list[bytes]]:
     n = int(np.frombuffer(body, np.int64, 1)[0])
     keys, none, lengths = np.frombuffer(body, np.int64, 3 * n, 8).reshape(3, n)
-    return [None if x else int(k) for k, x in zip(keys, none, strict=True)], lengths, np.frombuffer(body, "<i4", -1, 8 + 24 * n)
+    ends = 8 + 24 * n + np.cumsum(lengths)
+    return [None if x else int(k) for k, x in zip(keys, none, strict=True)], [body[e - k : e] for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    key, n = np.concatenate([*keys, _NONE]), np.concatenate([*counts, _NONE])
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    if not len(key):
+        return key, n
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+    return key[cut], np.add.reduceat(n, cut)
+
+
+class Block:
+    """Documents under way to rows (block, kind, at, c, body): distinct keys, distinct words, and compressed chunks of documents."""
+
+    def __init__(self, number: int):
+        self.block = number
+        self.size, self.chunks = 0, 0
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.numbers, self.words, self.word_counts = Numbers(), [], _NONE
+
+    def rows(self, kind: int, at: np.ndarray, c: np.ndarray, body: list) -> pa.RecordBatch:
+        n = len(at)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, self.block)), pa.array(np.full(n, kind, np.int32)), pa.array(at), pa.array(c), pa.array(body, pa.binary())], names=["block", "kind", "at", "c", "body"])
+
+    def add(self, docs: list, texts: list[bytes], z: zstandard.ZstdCompressor) -> pa.RecordBatch:
+        train = np.array([not held_out(i) for i in docs])
+        key, lengths = grams(texts)
+        coded = pa.array(key).dictionary_encode()
+        place = coded.indices.to_numpy()
+        self.keys.append(coded.dictionary.to_numpy())
+        self.counts.append(np.bincount(place[np.repeat(train, lengths)], minlength=len(self.keys[-1])))
+        if sum(map(len, self.keys)) > 4 * len(self.keys[0]) + 500_000:
+            key, c = summed(self.keys, self.counts)
+            self.keys, self.counts = [key], [c]
+        flat, hashes, starts, ends, first = tokens(texts)
+        number, new = self.numbers.of(hashes)
+        self.words += [flat[starts[i] : ends[i]] or END for i in new.tolist()]
+        c = np.bincount(number[np.repeat(train, np.diff(np.append(first, len(number))))], minlength=len(self.words))
+        c[: len(self.word_counts)] += self.word_counts
+        self.word_counts = c
+        self.size += len(flat)
+        self.chunks += 1
+        return self.rows(BODY, np.array([self.chunks]), np.array([0]), [z.compress(packed(docs, texts))])
+
+    def close(self, step: int = 100_000) -> Iterator[pa.RecordBatch]:
+        key, c = summed(self.keys, self.counts)
+        for i in range(0, len(key), step):
+            yield self.rows(KEY, key[i : i + step], c[i : i + step], [None] * len(key[i : i + step]))
+        for i in range(0, len(self.words), step):
+            words = self.words[i : i + step]
+            yield self.rows(WORD, np.arange(i, i + len(words)), self.word_counts[i : i + step], words)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents: a row for each distinct word, and one row with the documents as numbers of those words."""
-    made = 0
     z = zstandard.ZstdCompressor(level=1)
-    schema = pa.schema([("block", pa.int64()), ("lid", pa.int32()), ("word", pa.binary()), ("c", pa.int64()), ("body", pa.binary())])
-    numbers: dict[bytes, int] = defaultdict(count().__next__)
-    docs: list = []
-    held: list[np.ndarray] = []
-    size = 0
-
-    def close() -> Iterator[pa.RecordBatch]:
-        nonlocal made, numbers, docs, held, size
-        block = (partition_key() << 24) | made
-        n = len(numbers)
-        c = np.zeros(n, np.int64)
-        for i, ids in zip(docs, held, strict=True):
-            if not held_out(i):
-                c += np.bincount(ids, minlength=n) if len(ids) * 8 > n else 0
-                if len(ids) * 8 <= n:
-                    np.add.at(c, ids, 1)
-        words = list(numbers)
-        for at in range(0, n, 100_000):
-            to = min(n, at + 100_000)
-            k = to - at
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(np.arange(at, to, dtype=np.int32)), pa.array(words[at:to], pa.binary()), pa.array(c[at:to]), pa.nulls(k, pa.binary())], schema=schema)
-        body = z.compress(packed_documents(docs, held))
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([body], pa.binary())], schema=schema)
-        made, numbers, docs, held, size = made + 1, defaultdict(count().__next__), [], [], 0
-
+    made, block = 0, Block(partition_key() << 24)
+    docs, texts, size = [], [], 0
     for b in batches:
-        for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            words = (text or "").encode().translate(_LOWER).split()
-            words.append(END)
-            held.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-            docs.append(i)
-            size += len(words)
-            if size >= BLOCK_TOKENS:
-                yield from close()
+        for i, text in zip(b.column("doc_id"), b.column("text"), strict=True):
+            docs.append(i.as_py())
+            texts.append(model_text(text.as_py()))
+            size += len(texts[-1])
+            if size >= CHUNK_BYTES:
+                yield block.add(docs, texts, z)
+                docs, texts, size = [], [], 0
+                if block.size >= BLOCK_BYTES:
+                    yield from block.close()
+                    made += 1
+                    block = Block((partition_key() << 24) | made)
     if docs:
-        yield from close()
-
-
-def pairs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The packed (context, symbol) pairs that spell words, and where each word's pairs start.
-
-    A pair is context << 11 | context length << 8 | symbol; the last byte of a context is its lowest.
-    """
-    data = np.frombuffer(b"".join(b" " + w + b" " if w != END else b" \n" for w in words), np.uint8).astype(np.int64)
-    sizes = np.fromiter((len(w) + 2 if w != END else 2 for w in words), np.int64, len(words))
-    ends = np.cumsum(sizes)
-    first = ends - sizes
-    place = np.arange(len(data)) - np.repeat(first, sizes)
-    context = np.zeros(len(data), np.int64)
-    for j in range(ORDER):
-        back = np.zeros(len(data), np.int64)
-        back[j + 1 :] = data[: -(j + 1)]
-        context |= np.where(place > j, back, 0) << (8 * j)
-    key = (context << 11) | (np.minimum(place, ORDER) << 8) | data
-    keep = place > 0
-    return key[keep], first - np.arange(len(words))
-
-
-def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of words: a row for each distinct pair with its training count, and one row with the words."""
-    z = zstandard.ZstdCompressor(level=1)
-    made, words, counts = 0, [], []
-    names = ["block", "key", "c", "words", "counts"]
-
-    def close() -> Iterator[pa.RecordBatch]:
-        nonlocal made, words, counts
-        block = (partition_key() << 24) | made
-        c = np.concatenate(counts)
-        key, first = pairs_of(words)
-        each = np.repeat(c, np.diff(np.append(first, len(key))))
-        order = np.argsort(key, kind="stable")
-        key, each = key[order], each[order]
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
-        key, each = key[cut], np.add.reduceat(each, cut)
-        n = len(key)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(key), pa.array(each), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([z.compress(b" ".join(words))], pa.binary()), pa.array([z.compress(c.tobytes())], pa.binary())], names=names)
-        made, words, counts = made + 1, [], []
-
-    for b in batches:
-        words.extend(b.column("word").to_pylist())
-        counts.append(b.column("c").to_numpy())
-        if len(words) >= BLOCK_WORDS:
-            yield from close()
-    if words:
-        yield from close()
+        yield block.add(docs, texts, z)
+    yield from block.close()
 
 
 class Level:
@@ -200,40 +223,33 @@ class Level:
 
 
 def code_lengths(key: np.ndarray, n: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """log10 probabilities of packed pairs, given the training counts n of all pairs that share their contexts' last two bytes.
+    """log10 probabilities of packed keys, given the training counts n of all keys that share their contexts' last two bytes.
 
     ones: the counts of (byte before, symbol) over the whole corpus, 256 by 256.
     """
-    context, length, symbol = key >> 11, (key >> 8) & 7, key & 255
+    context, symbol = key >> 8, key & 255
     one_context, one_symbol = np.nonzero(ones)
     levels = {1: Level(one_context, one_symbol, ones[one_context, one_symbol]), 0: Level(np.zeros(SYMBOLS, np.int64), np.arange(SYMBOLS), ones.sum(axis=0))}
     for j in range(2, ORDER + 1):
-        own = length >= j
-        levels[j] = Level(context[own] & ((1 << (8 * j)) - 1), symbol[own], n[own])
+        levels[j] = Level(context & ((1 << (8 * j)) - 1), symbol, n)
     out = np.zeros(len(key))
-    open_ = np.ones(len(key), bool)
+    waiting = np.arange(len(key))
     gone = np.zeros(len(key), np.int64)  # counts and symbols excluded here, known to the longer context
     gone_symbols = np.zeros(len(key), np.int64)
     for j in range(ORDER, -1, -1):
-        at = np.flatnonzero(open_ & (length >= j))
-        if not len(at):
-            continue
-        mask = (1 << (8 * j)) - 1
-        c, s = context[at] & mask, symbol[at]
+        c, s = context[waiting] & ((1 << (8 * j)) - 1), symbol[waiting]
         total, distinct = levels[j].of(c)
         hits = levels[j].count(c, s)
-        left, fresh = total - gone[at], distinct - gone_symbols[at]
+        left, fresh = total - gone[waiting], distinct - gone_symbols[waiting]
         found = hits > 0
-        out[at[found]] += np.log10((2 * hits[found] - 1) / (2 * left[found]))
-        open_[at[found]] = False
+        out[waiting[found]] += np.log10((2 * hits[found] - 1) / (2 * left[found]))
         escape = ~found & (left > 0)
-        out[at[escape]] += np.log10(fresh[escape] / (2 * left[escape]))
+        out[waiting[escape]] += np.log10(fresh[escape] / (2 * left[escape]))
         if j:
-            gone[at] = levels[j].excluded(levels[j - 1], c, (1 << (8 * (j - 1))) - 1)
-            gone_symbols[at] = distinct
-        else:
-            gone_symbols[at] = distinct
-    out[open_] += np.log10(1 / np.maximum(1, SYMBOLS - gone_symbols[open_]))
+            gone[waiting] = levels[j].excluded(levels[j - 1], c, (1 << (8 * (j - 1))) - 1)
+        gone_symbols[waiting] = distinct
+        waiting = waiting[~found]
+    out[waiting] += np.log10(1 / np.maximum(1, SYMBOLS - gone_symbols[waiting]))
     return out
 
 
@@ -255,124 +271,76 @@ def _trie(ones: np.ndarray):
 
     def done(b: pa.RecordBatch) -> pa.RecordBatch:
         key = b.column("key").to_numpy()
-        return pa.RecordBatch.from_arrays([b.column("key"), pa.array(code_lengths(key, b.column("n").to_numpy(), ones))], names=["key", "logp"])
+        return pa.RecordBatch.from_arrays([b.column("key"), pa.array(code_lengths(key, b.column("n").to_numpy(), ones))], names=["key", "v"])
 
     return run
 
 
-def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block, the pairs before the words: the words with their counts and code lengths."""
-    z = zstandard.ZstdDecompressor()
-    keys, values = [], []
-    for b in batches:
-        key, value = b.column("key").to_numpy(), b.column("logp").to_numpy(zero_copy_only=False)
-        at = 0
-        for end in np.flatnonzero(key == -1).tolist():
-            keys.append(key[at:end])
-            values.append(value[at:end])
-            at = end + 1
-            k, v = np.concatenate(keys), np.concatenate(values)
-            order = np.argsort(k)
-            k, v = k[order], v[order]
-            keys, values = [], []
-            words = z.decompress(b.column("words")[end].as_py()).split(b" ")
-            c = np.frombuffer(z.decompress(b.column("counts")[end].as_py()), np.int64)
-            own, first = pairs_of(words)
-            score = np.add.reduceat(v[np.searchsorted(k, own)], first)
-            for lo in range(0, len(words), 50_000):
-                hi = lo + 50_000
-                yield pa.RecordBatch.from_arrays([pa.array(words[lo:hi], pa.binary()), pa.array(c[lo:hi]), pa.array(score[lo:hi])], names=["word", "total", "logp"])
-        keys.append(key[at:])
-        values.append(value[at:])
-
-
-def adapted(ids: np.ndarray, logp: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """log10 probabilities of documents laid end to end, from the pretrained ones of their tokens and from the words before in the document."""
-    doc = np.repeat(np.arange(len(first)), lengths)
-    order = np.argsort(doc * (int(ids.max()) + 1) + ids, kind="stable")
-    same = (ids[order][1:] == ids[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-    run = np.maximum.accumulate(np.concatenate(([0], np.where(same, 0, np.arange(1, len(ids))))))
-    before = np.empty(len(ids))
-    before[order] = np.arange(len(ids)) - run
-    i = np.arange(len(ids)) - np.repeat(first, lengths)
-    new = np.cumsum(before == 0)
-    distinct = new - (before == 0) - np.repeat(new[first] - 1, lengths)
-    some = np.flatnonzero(before)
-    scores = []
-    for pace in ADAPT:
-        weight = i / np.maximum(i + pace * distinct, 1) if pace < math.inf else np.zeros(len(ids))
-        weight[i == 0] = 0.0
-        own = logp + np.log10(1 - weight)
-        if pace < math.inf:
-            own[some] = np.logaddexp(own[some] * np.log(10), np.log(weight[some] * before[some] / i[some])) / np.log(10)
-        scores.append(np.add.reduceat(own, first))
-    # The average of the paces' probabilities of the whole document: what weighting them word by word with their success comes to.
-    return np.logaddexp.reduce(np.array(scores) * np.log(10), axis=0) / np.log(10) - np.log10(len(ADAPT))
-
-
-def word_level(logp: np.ndarray, c: np.ndarray, n_train: int, n_words: int, known: float) -> np.ndarray:
-    """log10 probabilities of words with training counts c and byte-level logp; known: what the bytes give to all known words."""
-    if not n_words:
-        return logp
-    left = max(1 - known, 1e-12)
-    return np.where(c > 0, np.log10(np.maximum(2 * c - 1, 1) / (2 * n_train)), np.log10(n_words / (2 * n_train)) + logp - np.log10(left))
-
-
-def _score(n_train: int, n_words: int, known_mass: float):
+def _score(n_train: int, n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by block, the words before the documents."""
+        """Rows sorted by block, kind and at: the keys with their code lengths, the words with their counts, the chunks of documents."""
         z = zstandard.ZstdDecompressor()
-        lids, totals, values = [], [], []
+        at_block, parts, model = None, {KEY: [], WORD: []}, None
         for b in batches:
-            lid, total, value = b.column("lid").to_numpy(), b.column("total").to_numpy(zero_copy_only=False), b.column("logp").to_numpy(zero_copy_only=False)
-            at = 0
-            for end in np.flatnonzero(lid == -1).tolist():
-                for x, y in ((lids, lid), (totals, total), (values, value)):
-                    x.append(y[at:end])
-                at = end + 1
-                where = np.argsort(np.concatenate(lids))
-                c, v = np.concatenate(totals)[where].astype(np.int64), np.concatenate(values)[where]
-                lids, totals, values = [], [], []
-                docs, lengths, ids = unpacked_documents(z.decompress(b.column("body")[end].as_py()))
-                first = np.cumsum(lengths) - lengths
-                v = word_level(v, c, n_train, n_words, known_mass)
-                base = np.log10((c + SMOOTH) / (n_train + SMOOTH * (n_words + 1)))
-                known = np.add.reduceat((c > 0).astype(np.int64)[ids], first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array([held_out(i) for i in docs]), pa.array(lengths), pa.array(known), pa.array(np.full(len(docs), n_train, np.int64)), pa.array(np.add.reduceat(base[ids], first)), pa.array(adapted(ids, v[ids], first, lengths))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-            for x, y in ((lids, lid), (totals, total), (values, value)):
-                x.append(y[at:])
+            block, kind, at, v = (b.column(x).to_numpy() for x in ("block", "kind", "at", "v"))
+            cuts = np.concatenate(([0], np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1, [len(block)]))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if lo == hi:
+                    continue
+                if block[lo] != at_block:
+                    at_block, parts, model = block[lo], {KEY: [], WORD: []}, None
+                if kind[lo] != BODY:
+                    parts[kind[lo]].append((at[lo:hi].copy(), v[lo:hi].copy()))
+                    continue
+                if model is None:
+                    key, length = (np.concatenate(x) for x in zip(*parts[KEY], strict=True))
+                    counts = np.concatenate([x for _, x in parts[WORD]])
+                    model = (key, length, counts, np.log10((counts + SMOOTH) / (n_train + SMOOTH * (n_words + 1))), Numbers())
+                    parts = {KEY: [], WORD: []}
+                for body in b.column("body").slice(lo, hi - lo).to_pylist():
+                    yield scored_chunk(*unpacked(z.decompress(body)), *model, n_train)
 
     return run
 
 
+def scored_chunk(docs: list, texts: list[bytes], key: np.ndarray, length: np.ndarray, counts: np.ndarray, base: np.ndarray, numbers: Numbers, n_train: int) -> pa.RecordBatch:
+    own, lengths = grams(texts)
+    coded = pa.array(own).dictionary_encode()
+    score = np.add.reduceat(length[np.searchsorted(key, coded.dictionary.to_numpy())][coded.indices.to_numpy()], np.cumsum(lengths) - lengths)
+    _, hashes, _, _, first = tokens(texts)
+    number, _ = numbers.of(hashes)
+    known = np.add.reduceat((counts[number] > 0).astype(np.int64), first)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(docs, pa.int64()), pa.array([held_out(i) for i in docs]), pa.array(np.diff(np.append(first, len(number)))), pa.array(known), pa.array(np.full(len(docs), n_train, np.int64)), pa.array(np.add.reduceat(base[number], first)), pa.array(score)],
+        names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    )
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text)."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    blocks = stored(docs.mapInArrow(_blocks, "block long, lid int, word binary, c long, body binary"), "blocks")
-    entries = blocks.where("lid >= 0").select("block", "lid", "word", "c")
-    words = stored(entries.groupBy("word").agg(F.sum("c").alias("c")), "words")
-    n_train, n_words = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    requests = stored(words.mapInArrow(_requests, "block long, key long, c long, words binary, counts binary"), "requests")
-    keys = stored(requests.where("key >= 0").groupBy("key").agg(F.sum("c").alias("n")), "keys")
+    blocks = stored(docs.mapInArrow(_blocks, "block long, kind int, at long, c long, body binary"), "blocks")
+    # A word has one row in each block at most; the first of them stands for it.
+    same = Window.partitionBy("body")
+    words = blocks.where(F.col("kind") == WORD).select("block", "at", F.sum("c").over(same).alias("total"), (F.col("block") == F.min("block").over(same)).alias("first"))
+    words = stored(words, "words")
+    n_train = blocks.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    n_words = words.agg(F.count_if(F.expr("first and total > 0"))).first()[0]
+    asked = blocks.where(F.col("kind") == KEY).select("block", F.col("at").alias("key"), "c")
+    keys = stored(asked.groupBy("key").agg(F.sum("c").alias("n")), "keys")
     # Last byte and symbol: at most 256 by 256 cells.
     ones = np.zeros((SYMBOLS, SYMBOLS), np.int64)
-    for r in keys.where("n > 0").groupBy(F.shiftright("key", 11).bitwiseAND(F.lit(255)).alias("b"), F.col("key").bitwiseAND(F.lit(255)).alias("s")).agg(F.sum("n").alias("n")).collect():
+    for r in keys.where("n > 0").groupBy(F.shiftright("key", 8).bitwiseAND(F.lit(255)).alias("b"), F.col("key").bitwiseAND(F.lit(255)).alias("s")).agg(F.sum("n").alias("n")).collect():
         ones[r.b, r.s] = r.n
-    tailed = keys.select("key", "n", F.shiftright("key", 11).bitwiseAND(F.lit(65535)).alias("tail"))
-    lengths = tailed.repartition("tail").sortWithinPartitions("tail").mapInArrow(_trie(ones), "key long, logp double")
-    answers = requests.where("key >= 0").select("block", "key").join(lengths, "key").select("block", "key", "logp", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("counts"))
-    asked = requests.where("key = -1").select("block", "key", F.lit(0.0).alias("logp"), F.lit(1).alias("kind"), "words", "counts")
-    spelled = answers.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind").select("key", "logp", "words", "counts").mapInArrow(_spell, "word binary, total long, logp double")
-    spelled = stored(spelled, "spelled")
-    known = spelled.where("total > 0").agg(F.coalesce(F.sum(F.pow(F.lit(10.0), "logp")), F.lit(0.0))).first()[0]
-    found = entries.select("block", "lid", "word").join(spelled, "word").select("block", "lid", "total", "logp", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("body"))
-    rows = blocks.where("lid = -1").select("block", "lid", F.lit(0).cast("long").alias("total"), F.lit(0.0).alias("logp"), F.lit(1).alias("kind"), "body")
-    together = found.unionByName(rows).repartition("block").sortWithinPartitions("block", "kind").drop("block", "kind")
-    return together.mapInArrow(_score(int(n_train), int(n_words), float(known)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    tailed = keys.select("key", "n", F.shiftright("key", 8).bitwiseAND(F.lit(65535)).alias("tail"))
+    lengths = tailed.repartition("tail").sortWithinPartitions("tail").mapInArrow(_trie(ones), "key long, v double")
+    none = F.lit(None).cast("binary").alias("body")
+    answers = asked.join(lengths, "key").select("block", F.lit(KEY).alias("kind"), F.col("key").alias("at"), "v", none)
+    counts = words.select("block", F.lit(WORD).alias("kind"), "at", F.col("total").cast("double").alias("v"), none)
+    bodies = blocks.where(F.col("kind") == BODY).select("block", "kind", "at", F.lit(0.0).alias("v"), "body")
+    rows = answers.unionByName(counts).unionByName(bodies).repartition("block").sortWithinPartitions("block", "kind", "at")
+    return rows.mapInArrow(_score(int(n_train), int(n_words)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:

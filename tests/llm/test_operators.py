@@ -49,49 +49,37 @@ def brute_scores(docs):
     tokens = {i: [w.encode() for w in words(t)] + [b"\n"] for i, t in lower.items()}
     train = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
     n, v = sum(train.values()), len(train)
-    spelled = lambda w: b" " + w + b" " if w != b"\n" else b" \n"
+    start = b"\n" * 5
     trie = [defaultdict(Counter) for _ in range(6)]
-    for w, c in train.items():
-        s = spelled(w)
-        for p in range(1, len(s)):
-            for j in range(min(p, 5) + 1):
-                trie[j][s[p - j : p]][s[p]] += c
-
-    def code(w):
-        s, out = spelled(w), 0.0
-        for p in range(1, len(s)):
-            gone = set()
-            for j in range(min(p, 5), -1, -1):
-                own = {k: x for k, x in trie[j].get(s[p - j : p], {}).items() if k not in gone}
-                total = sum(own.values())
-                if not total:
-                    continue
-                if s[p] in own:
-                    out += math.log10((2 * own[s[p]] - 1) / (2 * total))
-                    break
+    for i, ws in tokens.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            s = start + b" ".join(ws)
+            for p in range(5, len(s)):
+                for j in range(6):
+                    trie[j][s[p - j : p]][s[p]] += 1
+
+    def code(s, p):
+        out, gone = 0.0, set()
+        for j in range(5, -1, -1):
+            own = {k: x for k, x in trie[j].get(s[p - j : p], {}).items() if k not in gone}
+            total = sum(own.values())
+            if s[p] in own:
+                return out + math.log10((2 * own[s[p]] - 1) / (2 * total))
+            if total:
                 out += math.log10(len(own) / (2 * total))
-                gone |= set(own)
-            else:
-                out += math.log10(1 / (256 - len(gone)))
-        return out
+            gone |= set(own)
+        return out + math.log10(1 / (256 - len(gone)))
 
-    left = 1 - sum(10 ** code(w) for w in train)
-    word = lambda w: (2 * train[w] - 1) / (2 * n) if w in train else v / (2 * n) * 10 ** code(w) / left
     for i, ws in tokens.items():
+        s = start + b" ".join(ws)
         base = sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
-        paces = []
-        for pace in (4.0, 24.0, None):
-            seen, score = Counter(), 0.0
-            for k, w in enumerate(ws):
-                weight = k / (k + pace * len(seen)) if k and pace else 0.0
-                score += math.log10((1 - weight) * word(w) + weight * (seen[w] / k if k else 0))
-                seen[w] += 1
-            paces.append(score)
-        score = math.log10(sum(10**x for x in paces) / 3)
-        yield i, len(ws), sum(train[w] > 0 for w in ws), n, base, score
-
-
-def test_lm_score_is_the_brute_force_model(spark):
+        yield i, len(ws), sum(train[w] > 0 for w in ws), n, base, sum(code(s, p) for p in range(5, len(s)))
+
+
+@pytest.mark.parametrize("limits", [(1 << 20, 32 << 20), (40, 100)])
+def test_lm_score_is_the_brute_force_model(spark, limits, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", limits[0])
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", limits[1])
     docs = {i: t for i, t in enumerate(["the cat sat on the mat", "The dog sat", "", None, "naïve café the the the", "zebra quartz\n\nthe end of it"] * 4)}
     got = {r["doc_id"]: r for r in rows(lm_score.scored(spark.createDataFrame(list(docs.items()), "doc_id long, text string")))}
     for i, n, known, train, base, score in brute_scores(docs):
@@ -100,6 +88,25 @@ def test_lm_score_is_the_brute_force_model(spark):
         assert r["base_score"] == pytest.approx(base, abs=1e-9) and r["score"] == pytest.approx(score, abs=1e-6)
 
 
+def test_lm_score_knows_the_order_of_words(spark):
+    """Held-out sentences are more probable than their own words in another order, though every word is known."""
+    import random
+
+    draw = random.Random(5)
+    pick = lambda *xs: draw.choice(xs)
+    sentence = lambda: f"{pick('the', 'every')} {pick('old', 'small', 'quiet')} {pick('farmer', 'teacher', 'sailor')} {pick('sold', 'painted', 'found')} {pick('a', 'one')} {pick('wooden', 'silver')} {pick('boat', 'bell', 'chair')} ."
+    docs = {i: " ".join(sentence() for _ in range(5)) for i in range(1, 400)}
+    held = [i for i in docs if zlib.crc32(str(i).encode()) % 10 == 0]
+    other = [i for i in range(1000, 3000) if zlib.crc32(str(i).encode()) % 10 == 0][: len(held)]
+    for i, j in zip(held, other, strict=True):
+        docs[j] = " ".join(draw.sample(docs[i].split(), len(docs[i].split())))
+    got = {r["doc_id"]: r for r in rows(lm_score.scored(spark.createDataFrame(list(docs.items()), "doc_id long, text string")))}
+    assert len(held) > 20
+    for i, j in zip(held, other, strict=True):
+        assert got[i]["score"] > got[j]["score"] + 20 and got[i]["base_score"] == pytest.approx(got[j]["base_score"], abs=1e-6)
+        assert got[i]["score"] > got[i]["base_score"] and got[i]["n_known"] == got[i]["n_tokens"]
+
+
 def test_lm_score_tells_held_out_text_from_noise(spark, documents):
     """A held-out text is more probable than the same letters in another order."""
     import random
