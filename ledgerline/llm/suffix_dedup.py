@@ -1,11 +1,13 @@
 """Suffix-array dedup: remove bytes inside LENGTH-byte strings that also start earlier in the corpus.
 
-The suffixes that are sorted are those whose first LENGTH bytes hold an anchor that occurs twice: in every window of
-LENGTH bytes the SEED-byte string with the least hash is its anchor, so equal windows have equal anchors at equal places, and a
-window whose anchor is unique has no copy. Suffixes meet in the task of their anchor, are compared by polynomial prefix
-hashes of their first LENGTH bytes (that much is what a match means, so the search for the common extension stops there),
-merge-sorted by (hash, document, start), and each is matched to the earliest of its equals; matches are verified byte by
-byte. Anchors of more than CROWD places send their windows through a plain group by 128-bit window hash instead, so that
+Only suffixes whose first LENGTH bytes hold an anchor that occurs twice can match: in every window of LENGTH bytes the
+SEED-byte string with the least hash is its anchor, so equal windows have equal anchors at equal places, and a window whose anchor
+is unique has no copy. The places of an anchor meet in one task, each with the bytes that its windows reach, and are compared by
+polynomial prefix hashes: the common extension of two places, to the left and to the right, is found by binary search. First
+each place is extended against the earliest of its group (ROUNDS times, with the earliest of those that are left); the windows that
+found no source so are suffixes for a merge sort, whose comparisons search the common extension in the same way (to
+LENGTH bytes, which is what a match means) and then look at the next byte. Equal neighbours are matches. Matches are verified
+byte by byte. Anchors of more than CROWD places send their windows through a plain group by 128-bit window hash instead, so that
 no task gets all of them.
 
 Exact copies of a whole text are found by digest first and are no suffixes of their own: all of a copy of LENGTH bytes or
@@ -36,6 +38,8 @@ CONTEXT = SPAN - 1 + LENGTH
 #: Places of one anchor that a task matches in memory, at about 4 KB each.
 CROWD = 40_000
 STEP = 2000
+ROUNDS = 2
+PIECE = 1 << 20
 _FIRST = -(1 << 63)
 
 
@@ -68,10 +72,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return seed[place[first]], place[first], starts[first], starts[last]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for the shuffle."""
     z = zstandard.ZstdCompressor(level=1)
-    for b in batches:
+    for b in slices(batches):
         raw = [(x or "").encode() for x in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64()), pa.array([z.compress(x) for x in raw], pa.binary())], names=["doc_id", "digest", "n_bytes", "body"])
 
@@ -82,10 +92,10 @@ def _texts(bodies: pa.Array) -> pa.Array:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         rid = b.column("rid").to_numpy()
         texts = _texts(b.column("body")).cast(pa.large_string(), safe=False)
-        for lo, hi, data, offsets in pieces(texts):
+        for lo, hi, data, offsets in pieces(texts, PIECE):
             h, place, first, last = anchors(data, offsets)
             doc = np.searchsorted(offsets, place, side="right") - 1
             packed = ((place - offsets[doc]) << 14) | ((place - first) << 7) | (place - last)
@@ -134,34 +144,141 @@ def _windows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return context, packed >> 14, row, offset
 
 
+def prefixes(context: np.ndarray) -> np.ndarray:
+    """Polynomial prefix sums of contexts: the difference of two entries tells the bytes between them apart, at the same place of any context."""
+    out = np.zeros((len(context), CONTEXT + 1), np.uint64)
+    np.cumsum((context.astype(np.uint64) + np.uint64(1)) * powers(CONTEXT + 1)[0][:CONTEXT], axis=1, out=out[:, 1:])
+    return out
+
+
+def extension(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, at: np.ndarray, limit: int, way: int = 1) -> np.ndarray:
+    """How many bytes, limit at most, agree from place at on (way 1) or before it (way -1) in rows i of prefixes a and j of prefixes b."""
+    low, high = np.zeros(len(i), np.int64), np.full(len(i), limit)
+    from_a, from_b = a[i, at], b[j, at]
+    while True:
+        wide = low < high
+        if not wide.any():
+            return low
+        mid = (low + high + 1) >> 1
+        to = at + way * mid
+        same = a[i, to] - from_a == b[j, to] - from_b
+        low = np.where(wide & same, mid, low)
+        high = np.where(wide & ~same, mid - 1, high)
+
+
+def shared_windows(context: np.ndarray, own: np.ndarray, source: np.ndarray, most: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last offset of the windows that places own and source have in common (first > last: none)."""
+    lo, hi = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    for k in range(0, len(own), STEP):
+        x, y = own[k : k + STEP], source[k : k + STEP]
+        a, b = prefixes(context[x]), prefixes(context[y])
+        i, at = np.arange(len(x)), np.full(len(x), SPAN - 1)
+        right = extension(a, b, i, i, at, LENGTH)
+        left = extension(a, b, i, i, at, SPAN - 1, -1)
+        lo[k : k + STEP] = np.maximum(np.maximum(least[x], least[y]), LENGTH - right)
+        hi[k : k + STEP] = np.minimum(np.minimum(most[x], most[y]), left)
+    return lo, hi
+
+
+def suffix_sort(prefix: np.ndarray, context: np.ndarray, row: np.ndarray, at: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The order of suffixes (row, at) inside each run of cuts, whose suffixes all start at one at: a stable merge sort by their first LENGTH bytes."""
+    order = np.arange(len(row))
+    start = np.repeat(cuts[:-1], np.diff(cuts))
+    end = np.repeat(cuts[1:], np.diff(cuts))
+    k = np.arange(len(row)) - start
+    most, width = int(np.diff(cuts).max(initial=0)), 1
+    while width < most:
+        run = k // width
+        odd = run & 1
+        other = start + (run - 2 * odd + 1) * width
+        size = np.clip(end - other, 0, width)
+        low, high = np.zeros(len(row), np.int64), size.copy()
+        while True:
+            open_ = np.flatnonzero(low < high)
+            if not len(open_):
+                break
+            mid = (low[open_] + high[open_]) >> 1
+            x, y = order[open_], order[other[open_] + mid]
+            i, j, p = row[x], row[y], at[x]
+            n = extension(prefix, prefix, i, j, p, LENGTH)
+            to = np.minimum(p + n, CONTEXT - 1)
+            mine, theirs = context[i, to], context[j, to]
+            before = np.where(n == LENGTH, odd[open_] == 1, theirs < mine)  # the sibling goes first; equals keep their order
+            low[open_[before]] = mid[before] + 1
+            high[open_[~before]] = mid[~before]
+        place = start + (run - odd) * width + (k - run * width) + low
+        merged = np.empty_like(order)
+        merged[place] = order
+        order = merged
+        width *= 2
+    return order
+
+
 def _match_group(b: pa.RecordBatch) -> pa.RecordBatch:
     """Whole groups of equal anchors: the spans that earlier texts also hold."""
-    context, place, row, offset = _windows(b)
-    order, rid = b.column("ord").to_numpy(), b.column("rid").to_numpy()
-    cuts = np.searchsorted(row, np.arange(0, len(context) + STEP, STEP))
-    parts = [window_hashes(context[i * STEP : (i + 1) * STEP], _BASES[0])[row[a:z] - i * STEP, offset[a:z]] for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-    key = np.concatenate([*parts, np.zeros(0, np.uint64)])
-    start = place[row] - offset
-    by = np.lexsort((start, order[row], key))
-    key, row, offset, start = key[by], row[by], offset[by], start[by]
+    context = np.frombuffer(b"".join(b.column("context").to_pylist()), np.uint8).reshape(-1, CONTEXT)
+    h, packed, order, rid = (b.column(c).to_numpy() for c in ("h", "packed", "ord", "rid"))
+    by = np.lexsort((packed >> 14, rid, order, h))
+    context, h, packed, order, rid = context[by], h[by], packed[by], order[by], rid[by]
+    place, most, least = packed >> 14, (packed >> 7) & 127, packed & 127
+    grid = np.arange(SPAN)
+    open_ = (grid >= least[:, None]) & (grid <= most[:, None])
+    found: list[tuple[np.ndarray, ...]] = []
+
+    def later(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (order[x] > order[y]) | ((order[x] == order[y]) & (rid[x] == rid[y]) & (place[x] > place[y]))
+
+    def grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cuts = grouped_offsets(h[rows])
+        rows = rows[np.repeat(np.diff(cuts) > 1, np.diff(cuts))]
+        return rows, grouped_offsets(h[rows])
+
+    rows, cuts = grouped(np.arange(len(h)))
+    for _ in range(ROUNDS):
+        source = np.repeat(rows[cuts[:-1]], np.diff(cuts))
+        after = later(rows, source)
+        x, y = rows[after], source[after]
+        lo, hi = shared_windows(context, x, y, most, least)
+        some = lo <= hi
+        x, y, lo, hi = x[some], y[some], lo[some], hi[some]
+        found.append((x, y, lo, hi))
+        open_[x] &= (grid < lo[:, None]) | (grid > hi[:, None])
+        open_[rows[cuts[:-1]]] = False
+        rows, cuts = grouped(rows[open_[rows].any(axis=1)])
+    # The windows that are left, run by run of one anchor and offset; those that are alone in theirs have no copy.
+    i, o = np.nonzero(open_[rows])
+    by = np.lexsort((i, o, np.searchsorted(cuts, i, side="right")))
+    i, o = i[by], o[by]
+    key = np.searchsorted(cuts, i, side="right") * np.int64(SPAN) + o
     cuts = grouped_offsets(key)
-    first = np.repeat(cuts[:-1], np.diff(cuts))
-    later = (order[row] > order[row[first]]) | ((order[row] == order[row[first]]) & (rid[row] == rid[row[first]]) & (start > start[first]))
-    source, own, o = row[first][later], row[later], offset[later]
-    if not len(own):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["rid", "start", "end"])
-    # All windows of one anchor that go to the same source are neighbours; verify their bytes in one comparison.
-    by = np.lexsort((o, source, own))
-    own, source, o = own[by], source[by], o[by]
-    cuts = grouped_offsets(own * np.int64(len(context) + 1) + source)
-    lo, hi = o[cuts[:-1]], o[cuts[1:] - 1]
-    own, source = own[cuts[:-1]], source[cuts[:-1]]
-    unequal = np.zeros((len(own), CONTEXT + 1), np.int16)
-    np.cumsum(context[own] != context[source], axis=1, out=unequal[:, 1:])
-    i = np.arange(len(own))
-    good = unequal[i, SPAN - 1 - lo + LENGTH] == unequal[i, SPAN - 1 - hi]
-    at = place[own]
-    return pa.RecordBatch.from_arrays([pa.array(rid[own][good]), pa.array((at - hi)[good]), pa.array((at - lo + LENGTH)[good])], names=["rid", "start", "end"])
+    many = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
+    i, o, cuts = i[many], o[many], grouped_offsets(key[many])
+    if len(i):
+        prefix, near = prefixes(context[rows]), context[rows]
+        by = suffix_sort(prefix, near, i, SPAN - 1 - o, cuts)
+        i, o = i[by], o[by]
+        same = np.concatenate(([False], extension(prefix, prefix, i[1:], i[:-1], SPAN - 1 - o[1:], LENGTH) == LENGTH))
+        same[cuts[:-1]] = False
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(i))))
+        x, y, z = rows[i], rows[i[first]], rows[i[np.maximum(np.arange(len(i)) - 1, 0)]]
+        y = np.where(order[x] > order[y], y, z)
+        some = same & later(x, y)
+        found.append((x[some], y[some], o[some], o[some]))
+    own, source, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+    good = np.zeros(len(own), bool)
+    for k in range(0, len(own), STEP):
+        x, y = own[k : k + STEP], source[k : k + STEP]
+        unequal = np.zeros((len(x), CONTEXT + 1), np.int16)
+        np.cumsum(context[x] != context[y], axis=1, out=unequal[:, 1:])
+        n = np.arange(len(x))
+        good[k : k + STEP] = unequal[n, SPAN - 1 - lo[k : k + STEP] + LENGTH] == unequal[n, SPAN - 1 - hi[k : k + STEP]]
+    own, lo, hi = own[good], lo[good], hi[good]
+    # All windows of a place hold its anchor, so what they cover is one span.
+    by = np.argsort(own, kind="stable")
+    own, lo, hi = own[by], lo[by], hi[by]
+    cuts = grouped_offsets(own)[:-1] if len(own) else np.zeros(0, np.int64)
+    own, lo, hi = own[cuts], np.minimum.reduceat(lo, cuts) if len(cuts) else lo, np.maximum.reduceat(hi, cuts) if len(cuts) else hi
+    return pa.RecordBatch.from_arrays([pa.array(rid[own]), pa.array(place[own] - hi), pa.array(place[own] - lo + LENGTH)], names=["rid", "start", "end"])
 
 
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +317,7 @@ def crowded_matches(contexts: DataFrame) -> DataFrame:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in slices(batches):
         removed, spans, hashes, sizes = [], [], [], []
         for body, n, copy, found in zip(*(b.column(c).to_pylist() for c in ("body", "n_bytes", "copy", "found")), strict=True):
             text = z.decompress(body)

@@ -246,6 +246,23 @@ def test_suffix_dedup_is_brute_force(spark, texts, crowd, monkeypatch):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (n, removed, runs, sha), i
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_suffix_sort_finds_what_the_earliest_place_does_not_hold(spark, rounds, monkeypatch):
+    """Texts that share one core in many surroundings: most matches are with other texts than the earliest."""
+    import random
+
+    monkeypatch.setattr(suffix_dedup, "ROUNDS", rounds)
+    draw = random.Random(3)
+    letters = lambda n: "".join(draw.choice("abcd") for _ in range(n))
+    core, sides = letters(60), [letters(70) for _ in range(6)]
+    docs = {i: letters(20) + draw.choice(sides) + core + draw.choice(sides) + letters(draw.randrange(20)) for i in range(1, 60)}
+    got = {r["doc_id"]: r for r in rows(suffix_dedup.deduplicated(spark.createDataFrame(list(docs.items()), "doc_id long, text string")))}
+    want = list(brute_spans(docs))
+    assert sum(x[2] for x in want) > 3000
+    for i, n, removed, runs, sha in want:
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (n, removed, runs, sha), i
+
+
 # op6
 
 
