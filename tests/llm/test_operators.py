@@ -337,22 +337,89 @@ def test_license_cosines_are_brute_force(spark, texts):
 
     vectors, idf, other = license_scan.template_vectors()
     by = defaultdict(dict)
-    for name, i, t, w in vectors:
-        by[name, i][t] = w
+    for name, title, i, t, w in vectors:
+        by[name, title, i][t] = w
+    cued = lambda parts: [x for x in parts if regex.search(license_scan.CUE, x)]
     got = {r["key"]: (r["license"], r["score"]) for r in rows(license_scan.scanned(spark.createDataFrame([(i, None, t) for i, t in texts.items()], "key long, path string, text string")))}
     for i, text in texts.items():
-        best = (0.0, 0, None)
-        for passage in regex.split(license_scan.PASSAGE.replace(r"\x20\x09-\x0D", r"\x20\x09-\x0d"), text or ""):
-            if not regex.search(license_scan.CUE, passage):
-                continue
+        text = (text or "").strip(SPACES)
+        paragraphs = regex.split(license_scan.PARAGRAPH, text)
+        some = cued(paragraphs)
+        passages = [(x, False) for x in cued(regex.split(license_scan.PASSAGE, text))] + [(x, x == paragraphs[0]) for x in some] + ([("\n".join(some), False)] if len(some) > 1 else [])
+        best = (False, False, 0.0, 0, None)
+        for passage, lead in passages:
             terms = Counter(regex.findall(license_scan.TERM, passage.lower()))
             norm = math.sqrt(sum((n * idf.get(t, other)) ** 2 for t, n in terms.items()))
-            for (name, _), v in by.items():
+            found = []
+            for (name, title, _), v in by.items():
                 score = round(sum(n * idf[t] * v[t] for t, n in terms.items() if t in v) / norm, 9) if norm else 0
                 if score >= license_scan.COSINE:
-                    best = max(best, (score, -sorted(license_scan.TEMPLATES).index(name), name), key=lambda x: x[:2])
-        assert got[i][0] == best[2], i
-        assert best[2] is None or got[i][1] == pytest.approx(best[0], abs=2e-9)
+                    found.append((title and lead, name != "Proprietary", score, -sorted(license_scan.TEMPLATES).index(name), name))
+            if found:
+                best = max(best, (any(x[0] for x in found), *max(x[1:] for x in found)))
+        assert got[i][0] == best[4], i
+        assert best[4] is None or got[i][1] == pytest.approx(best[2], abs=2e-9)
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 Ada Example
+
+""" + license_scan._MIT_GRANT.replace(" and to permit", "\nand to permit") + """
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+""" + license_scan._AS_IS_MIT
+APACHE_HEADER = """#!/usr/bin/env python
+# Copyright 2020 Example Inc.
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+
+import sys
+"""
+FSF_HEADER = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int main() { return 0; }
+"""
+GPL_FILE = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Everyone is permitted to copy and distribute verbatim copies
+ of this document, but changing it is not allowed.
+
+""" + "\n\n".join(f"Section {i}. Conditions about conveying covered works number {i}." for i in range(80))
+
+
+def test_licences_of_real_files(spark):
+    code = "import sys\nprint(sys.argv)\n" * 40
+    bsd = lambda body: "Copyright (c) 2019, Example\nAll rights reserved.\n\n" + body.replace(". ", ".\n\n")
+    files = {
+        "mit/LICENSE": MIT_FILE, "mit/src/a.py": code, "mit/src/deep/b.py": code, "mit/gpl/LICENSE": GPL_FILE, "mit/gpl/c.py": code, "apache/a.py": APACHE_HEADER + code, "apache/other.py": code,
+        "fsf.c": FSF_HEADER + code, "spdx1.py": "// SPDX-License-Identifier: MIT\n" + code, "spdx2.py": "# SPDX-License-Identifier: Apache-2.0\n" + code, "spdx3.py": "# SPDX-License-Identifier: GPL-3.0-or-later\n" + code,
+        "spdx4.py": "# SPDX-License-Identifier: Zlib\n" + code, "two/LICENSE": bsd(license_scan._BSD_2 + license_scan._AS_IS_BSD), "three/LICENSE": bsd(license_scan._BSD_2 + license_scan._BSD_3 + license_scan._AS_IS_BSD), "three/x.py": code,
+        "isc/LICENSE": f"ISC License\n\nCopyright (c) 2018 Someone\n\n{license_scan._ISC_GRANT}\n\n{license_scan._AS_IS_ISC}", "own.txt": "Some prose.\nCopyright 2020 Example. All rights reserved.\n" + code,
+        "both.txt": "All rights reserved.\nLicensed under the MIT license, see there.\n" + code, "prose.txt": "She asked for permission to leave. The driving license was lost.",
+    }
+    got = {r["key"]: (r["license"], r["how"]) for r in rows(license_scan.scanned(spark.createDataFrame([(k, k, v) for k, v in files.items()], "key string, path string, text string")))}
+    assert got == {
+        "mit/LICENSE": ("MIT", "own"), "mit/src/a.py": ("MIT", "inherited"), "mit/src/deep/b.py": ("MIT", "inherited"), "mit/gpl/LICENSE": ("GPL-3.0", "own"), "mit/gpl/c.py": ("GPL-3.0", "inherited"),
+        "apache/a.py": ("Apache-2.0", "own"), "apache/other.py": (None, "none"), "fsf.c": ("GPL-3.0", "own"), "spdx1.py": ("MIT", "own"), "spdx2.py": ("Apache-2.0", "own"), "spdx3.py": ("GPL-3.0", "own"), "spdx4.py": (None, "none"),
+        "two/LICENSE": ("BSD-2-Clause", "own"), "three/LICENSE": ("BSD-3-Clause", "own"), "three/x.py": ("BSD-3-Clause", "inherited"), "isc/LICENSE": ("ISC", "own"), "own.txt": ("Proprietary", "own"), "both.txt": ("MIT", "own"), "prose.txt": (None, "none"),
+    }
 
 
 # op9
