@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, word_count
+from .common import free_name, stored, table, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -41,10 +41,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rows.withColumn("target", F.least(F.col("w") * level, F.col("cap"))).select("source", "source_size", "target")
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, times for each row of docs (doc_id, text, source)."""
+def mixed(docs: DataFrame, *keys: str) -> DataFrame:
+    """doc_id, keys, size, source_size, target, taken, times for each row of docs (doc_id, text, source and keys)."""
     sized = docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"),
+        "doc_id", *keys, "source", word_count(F.col("text")).alias("size"),
         F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.col("text")), F.lit("")))).alias("key"),
     )
     sized = stored(sized.withColumn("range", F.substring("key", 1, RANGE_DIGITS)), "sized")
@@ -59,7 +59,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - epochs * F.col("source_size")
     rows = rows.withColumn("times", (epochs + F.when((F.col("size") > 0) & (start + F.col("size") / 2 <= rest), 1).otherwise(0)).cast("long"))
-    return rows.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+    return rows.select("doc_id", *keys, "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * F.col("times")).alias("taken"), "times")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
@@ -85,7 +85,12 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with every row as often as the mix takes it: 0, 1 or 2 times. Rows without words are not taken."""
-    times = mixed(docs.select("doc_id", "text", "source")).groupBy("doc_id").agg(F.max("times").alias("_times")).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(times, docs.doc_id.eqNullSafe(F.col("_id")), "inner").where("_times > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(docs.columns)
+    """docs with every row as often as the mix takes it: 0, 1 or 2 times. Rows without words are not taken.
+
+    Rows are numbered and stored first, so that rows that repeat a doc_id, or have none, are taken one by one.
+    """
+    row = free_name([*docs.columns, "size", "source_size", "target", "taken", "times", "key", "range", "base"], "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    times = mixed(numbered.select("doc_id", "text", "source", row), row).where("times > 0").select(row, F.expr("sequence(1, cast(times as int))").alias("_times"))
+    rows = numbered.join(times.withColumnRenamed("_times", f"{row}_times"), row)
+    return rows.withColumn(f"{row}_copy", F.explode(f"{row}_times")).select(docs.columns)

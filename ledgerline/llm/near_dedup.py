@@ -7,21 +7,23 @@ signatures agree at a coordinate with the probability of their weighted Jaccard
 
 Cases: documents without words (null, empty, white space) and rows with a null doc_id are classes of their own. Documents
 of one to four words have one shingle, all their words. Documents whose words are the same are copies and are joined by a
-128-bit digest before any signature is compared. Rows that repeat a doc_id share its class. Other columns are ignored.
+128-bit digest before any signature is compared. Rows that repeat a doc_id with another text are judged by their own text. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, grouped_offsets, mix, pieces, rolling, ship, stored, word_hashes, word_spans
+from .common import LOWER, free_name, mix, pieces, rolling, ship, stored, word_hashes, word_spans
 
 SHINGLE = 5
 COORDINATES = 128
@@ -126,14 +128,14 @@ def _digest(text: str | None) -> bytes:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, texts = b.column("doc_id"), b.column("text")
+        ids, own, texts = b.column("doc_id"), b.column("row"), b.column("text")
         digests = pa.array([_digest(x) for x in texts.to_pylist()], pa.binary())
         for lo, hi, cells, offsets in weighted_cells(texts):
             keys = band_keys(dart_signatures(cells, offsets))
             some = np.diff(offsets) > 0
             flat = pa.array(keys[some].reshape(-1).view(np.int64))
             ends = np.concatenate(([0], np.cumsum(np.where(some, keys.shape[1], 0)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), digests.slice(lo, hi - lo), pa.array(some), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "digest", "some", "bands"])
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), own.slice(lo, hi - lo), digests.slice(lo, hi - lo), pa.array(some), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "row", "digest", "some", "bands"])
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -259,8 +261,13 @@ def candidates(members: DataFrame, scores: DataFrame) -> DataFrame:
     return both.select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id (the smallest doc_id of its class of near copies) for each row.
+def row_key() -> Column:
+    """What tells rows apart: a repeated doc_id with another text is another row."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def classes_of_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row (its row_key), class (a row_key that all near copies share) and class_id (their smallest doc_id) for each row.
 
     Members of a band bucket are checked against the member that shares most buckets, which is the common original where there
     is one, so a group of any size costs one check for each member; buckets of up to SMALL are checked pair by pair. Large
@@ -269,15 +276,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sketches = stored(docs.mapInArrow(_sketch, "doc_id long, digest binary, some boolean, bands array<long>"), "sketch")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row", row_key())
+    sketches = stored(docs.mapInArrow(_sketch, "doc_id long, row long, digest binary, some boolean, bands array<long>"), "sketch")
     real = sketches.where("some and doc_id is not null")
-    copies = stored(real.groupBy("digest").agg(F.min("doc_id").alias("rep")), "copies")
-    # A representative row is the first of its digest; a doc_id that is repeated with other words stays a node of its own.
-    reps = real.join(copies, "digest").where(F.col("doc_id") == F.col("rep")).select("doc_id", F.explode("bands").alias("key")).distinct()
+    copies = stored(real.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("rep")).select("digest", F.col("rep.doc_id").alias("rep"), F.col("rep.row").alias("node")), "copies")
+    # The nodes of the links are rows: one row stands for all that have the same words.
+    reps = real.join(copies, "digest").where(F.col("row") == F.col("node")).select(F.col("row").alias("doc_id"), F.explode("bands").alias("key")).distinct()
     members = stored(shared(reps), "members")
     scores = members.groupBy("doc_id").agg(F.sum("n").alias("score"))
-    texts = stored(docs.join(scores, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    texts = docs.select(F.col("row").alias("doc_id"), "text").join(scores, "doc_id", "left_semi")
+    texts = stored(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     links = stored(verified(stored(candidates(members, scores), "pairs"), texts), "links")
     classes = components(links)
     crowded = stored(members.where(F.col("n") > SMALL).join(classes, F.col("doc_id") == F.col("node"), "left").select("doc_id", "key", F.coalesce("class", "doc_id").alias("class")), "crowded")
@@ -287,9 +295,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not waiting.isEmpty():
         more = stored(verified(stored(rare_pairs(waiting), "rare"), texts), "more")
         classes = components(links.unionByName(more))
-    own = copies.join(classes, copies.rep == classes.node, "left").select("digest", F.lit(True).alias("some"), F.coalesce("class", "rep").alias("class"))
-    found = sketches.select("doc_id", "digest", "some").join(own, ["digest", "some"], "left")
-    return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id"))
+    own = copies.join(classes, "node", "left").select("digest", "rep", F.coalesce("class", "node").alias("class"))
+    own = stored(own, "own")
+    least = own.groupBy("class").agg(F.min("rep").alias("class_id"))
+    own = own.join(least, "class").select("digest", F.lit(True).alias("some"), "class", "class_id")
+    found = sketches.select("doc_id", "row", "digest", "some").join(own, ["digest", "some"], "left")
+    known = F.col("doc_id").isNotNull()
+    return found.select("doc_id", "row", F.when(known, F.coalesce("class", "row")).alias("class"), F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id and class_id (the smallest doc_id of its class of near copies) for each row of docs (doc_id, text)."""
+    return classes_of_rows(docs).select("doc_id", "class_id")
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -300,9 +317,14 @@ def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each class; rows without a doc_id or without words stay; a repeated doc_id stays once."""
-    found = near_duplicates(docs)
-    keep = found.where("doc_id is not null and doc_id = class_id").select("doc_id").distinct()
-    rest = docs.where("doc_id is null")
-    kept = docs.join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(*[F.first(c).alias(c) for c in docs.columns if c != "doc_id"]).select(docs.columns)
-    return kept.unionByName(rest)
+    """Keep the row with the smallest doc_id of each class; rows without a doc_id stay.
+
+    Rows that repeat both doc_id and text stay once, the least by their other columns (of types with an order); a doc_id
+    that is repeated with another text is a row of its own.
+    """
+    row, keep = free_name(docs.columns, "row"), classes_of_rows(docs).where("doc_id is not null")
+    keep = keep.groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("x")).select(F.col("x.row").alias(row)).distinct()
+    order = [f.name for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    tagged = docs.where("doc_id is not null").withColumn(row, row_key())
+    kept = tagged.join(keep, row, "left_semi").groupBy(row).agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("_kept")).select("_kept.*")
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -1,8 +1,9 @@
 """Quality rules, with DataFrame operations only: counting rules, and divergence from language references.
 
-A document's character classes (those of CLASSES, bytes beyond one a character, and the other characters of words) and its language's common words are counted to two histograms. The references are the
-summed histograms of all documents of a language (languages outside LANGUAGES share the reference of all documents), and a
-document is rejected if the Jensen-Shannon distance (base 2) of either histogram to its reference exceeds its limit. The
+A document's character classes (those of CLASSES, bytes beyond one a character, and the other characters of words) and its language's common words are counted to two histograms. First references are the
+summed histograms of all documents of a language (languages outside LANGUAGES share the reference of all documents); the references in use are
+summed again over the documents within the median character distance and the upper quartile of the word distance of the first ones, since
+junk of symbols weighs so much in the plain sums that clean and junk texts overlap. A document is rejected if the Jensen-Shannon distance (base 2) of either histogram to its reference exceeds its limit. The
 guards: the character histogram needs MIN_CHARS characters in words, the word histogram MIN_WORDS words, else the distance
 is not judged.
 
@@ -18,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table, words_of
+from .common import free_name, stored, table, words_of
 
 # Languages with references and their common words.
 COMMON = {
@@ -147,10 +148,10 @@ def judged(rows: DataFrame, refs: DataFrame) -> DataFrame:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, kept and both distances of each row of docs (doc_id, text, lang)."""
-    rows = stored(measured(docs.select("doc_id", "text", "lang")).drop("text"), "quality")
-    return judged(rows, stored(trimmed_references(rows), "references")).select("doc_id", *COUNTS, "base_failed", "kept", "char_distance", "word_distance")
+def quality(docs: DataFrame, *keys: str) -> DataFrame:
+    """doc_id, keys, the counts, base_failed, kept and both distances of each row of docs (doc_id, text, lang and keys)."""
+    rows = stored(measured(docs.select("doc_id", "text", "lang", *keys)).drop("text"), "quality")
+    return judged(rows, stored(trimmed_references(rows), "references")).select("doc_id", *keys, *COUNTS, "base_failed", "kept", "char_distance", "word_distance")
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -159,6 +160,7 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the rows that the rules reject; the counts of all rows are stored first and looked up by doc_id."""
-    kept = quality(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """docs without the rows that the rules reject. A verdict depends on text and lang alone, so rows are looked up by a hash of these."""
+    key = free_name([*docs.columns, *COUNTS, "base_failed", "kept"], "row")
+    tagged = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("\0"))))
+    return tagged.join(quality(tagged, key).where("kept").select(key).distinct(), key, "left_semi").select(docs.columns)

@@ -67,3 +67,25 @@ def test_pipeline_runs_stage_by_stage(spark, sf):
     assert sizes[0] > sizes[1] >= sizes[2] >= sizes[3] > 0
     ids = sorted(x for r in corpus_pipeline.run(spark, sf).select("doc_ids", "parts").collect() for x, p in zip(r.doc_ids, r.parts, strict=True) if p == 0)
     assert ids == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
+def clean(word, n=120):
+    return " ".join(f"The {word}{i}q of {word}{i}z and {word}{i}k to {word}{i}v in." for i in range(n))
+
+
+def test_stages_tell_rows_of_one_doc_id_apart(spark, tmp_path):
+    rows = [(1, clean("a"), "en", "web"), (1, clean("b"), "en", "web"), (1, "x " * 400, "en", "web"), (1, clean("a"), "en", "web"), (2, clean("b"), "en", "web"), (3, clean("c"), "en", "web")]
+    rows += [(None, clean(f"n{i}"), "en", "hot") for i in range(40)] + [(i, clean(f"m{i}"), "en", "cold") for i in range(100, 103)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], COLUMNS)
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, "").collect()
+    assert len(kept) == len(rows) - 1 and not [r for r in kept if r.text.startswith("x x")]
+    near = corpus_pipeline.STAGES[1][1](spark, docs, "")
+    assert sorted((r.doc_id, r.text[:6]) for r in near.where("source = 'web'").collect()) == [(1, "The a0"), (1, "The b0"), (1, "x x x "), (3, "The c0")]
+    assert near.where("doc_id is null").count() == 40
+    mix = corpus_pipeline.STAGES[3][1](spark, docs, "")
+    sizes = {r.source: r.n for r in docs.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    taken = {r.source: r.n for r in mix.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    # Weights 5, 2, 1 for cold, hot, web: cold is capped at twice its size, and what it can't take goes to the others.
+    left = 1.5 * sum(sizes.values()) - 2 * sizes["cold"]
+    assert taken["cold"] == 2 * sizes["cold"]
+    assert taken["hot"] == pytest.approx(min(2 * sizes["hot"], max(left * 2 / 3, left - 2 * sizes["web"])), abs=1500)
