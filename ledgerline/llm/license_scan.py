@@ -163,9 +163,10 @@ def matches(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     vectors = F.broadcast(spark.createDataFrame(rows, "license string, title boolean, notice int, term string, weight double"))  # a few thousand fixed rows
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    found = passages(files)
+    # Counted before the terms are exploded, so once a passage.
+    found = passages(files).withColumn("words", word_count(F.col("passage")))
     by = ["key", "at", "kind", "lead", "words"]
-    terms = found.select("key", "at", "kind", "lead", word_count(F.col("passage")).alias("words"), F.explode(F.regexp_extract_all(F.lower("passage"), F.lit(f"({TERM})"))).alias("term"))
+    terms = found.select(*by, F.explode(F.regexp_extract_all(F.lower("passage"), F.lit(f"({TERM})"))).alias("term"))
     counts = stored(terms.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n")), "terms").join(known, "term", "left")
     counts = counts.withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other)))
     norms = counts.groupBy("key", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
