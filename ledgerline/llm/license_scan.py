@@ -20,6 +20,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,7 +121,9 @@ TITLES = {
     "MPL-2.0": ["Mozilla Public License Version 2.0"],
     "Unlicense": ["The Unlicense"],
 }
-CUE = r"(?i)licen[sc]e|copyright|rights reserved|public domain|permission|redistribut|warrant|creative commons|spdx|free software|\bcc[ 0-]|\bgpl|\bmit\b"
+CUE = r"(?i)licen[sc]e|copyright|rights reserved|public domain|permission|redistribut|warrant|creative commons|spdx|free software|\bcc[ 0-]|\bgpl|(?-i:\bMIT\b)"
+#: What a text with a cue holds: these in lower case, or "MIT". Cheaper to look for than CUE, which then decides passage by passage.
+HINTS = ("licen", "copyright", "rights reserved", "public domain", "permission", "redistribut", "warrant", "creative commons", "spdx", "free software", "cc ", "cc0", "cc-", "gpl")
 PASSAGE = r"\n|(?<=[.!?])[\x20\x09-\x0D]+(?=\p{Lu})"
 PARAGRAPH = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 TERM = "[a-z0-9]+"
@@ -148,7 +152,8 @@ def template_vectors() -> tuple[list[tuple[str, bool, int, str, float]], dict[st
 def passages(files: DataFrame) -> DataFrame:
     """key, at, kind, lead (it is the text's first paragraph) and passage: what holds a cue word."""
     text = F.btrim("text", F.lit(" \t\n\x0b\f\r"))
-    cued = files.where(F.col("text").rlike(CUE)).select("key", F.filter(F.split(text, PASSAGE), lambda x: x.rlike(CUE)).alias("lines"), F.transform(F.split(text, PARAGRAPH), lambda x, i: F.struct(x.alias("p"), (i == 0).alias("lead"))).alias("all"))
+    hinted = F.exists(F.array(F.lower("text")), lambda t: reduce(or_, [t.contains(x) for x in HINTS])) | F.col("text").contains("MIT")
+    cued = files.where(hinted).select("key", F.filter(F.split(text, PASSAGE), lambda x: x.rlike(CUE)).alias("lines"), F.transform(F.split(text, PARAGRAPH), lambda x, i: F.struct(x.alias("p"), (i == 0).alias("lead"))).alias("all"))
     cued = cued.withColumn("some", F.filter("all", lambda x: x["p"].rlike(CUE)))
     one = lambda kind, lead, x: F.struct(F.lit(kind).alias("kind"), lead.alias("lead"), x.alias("passage"))
     no = F.lit(False)
