@@ -1,3 +1,3 @@
 """Imports the query modules, which register themselves."""
 
-from . import features, ingest, markets, monitoring, relations  # noqa: F401
+from . import features, ingest, markets, monitoring, records, relations  # noqa: F401
