@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -230,26 +234,29 @@ def w22_recent_starter(spark, folder):
     return s.groupBy("l_suppkey").agg(F.max_by(F.struct(F.col("l_partkey").alias("starter"), "starts"), F.struct("starts", "latest", -F.col("l_partkey"))).alias("x")).select("l_suppkey", "x.*")
 
 
-def elo_rows(rows, start: float, factor: float, edge: float):
-    """Ratings before each match, folded over one league's matches in order. rows: a pandas frame of one group."""
-    rating: dict = {}
-    out = []
-    for m in rows.sort_values(["match_date", "match_id"]).itertuples():
-        h, a = rating.get(m.home_id, start), rating.get(m.away_id, start)
-        expected = 1 / (1 + 10 ** ((a - h - edge) / 400))
-        score = 1.0 if m.home_score > m.away_score else 0.5 if m.home_score == m.away_score else 0.0
-        import math
+def elo_stream(start: float, factor: float, edge: float):
+    """Ratings before each match, folded over matches sorted by league and date. The state is one league's ratings, so a league of any size streams through."""
 
-        step = factor * math.log(1 + abs(m.home_score - m.away_score) + 1) * (score - expected)
-        rating[m.home_id], rating[m.away_id] = h + step, a - step
-        out.append((m.match_id, m.league_id, round(h, 6), round(a, 6)))
-    import pandas as pd
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        league, rating = None, {}
+        for f in frames:
+            out = []
+            for m in f.itertuples():
+                if m.league_id != league:
+                    league, rating = m.league_id, {}
+                h, a = rating.get(m.home_id, start), rating.get(m.away_id, start)
+                score = 1.0 if m.home_score > m.away_score else 0.5 if m.home_score == m.away_score else 0.0
+                step = factor * math.log(abs(m.home_score - m.away_score) + 2) * (score - 1 / (1 + 10 ** ((a - h - edge) / 400)))
+                rating[m.home_id], rating[m.away_id] = h + step, a - step
+                out.append((m.match_id, m.league_id, round(h, 6), round(a, 6)))
+            yield pd.DataFrame(out, columns=["match_id", "league_id", "home_elo", "away_elo"])
 
-    return pd.DataFrame(out, columns=["match_id", "league_id", "home_elo", "away_elo"])
+    return run
 
 
 @query()
 def n1_sequential_elo(spark, folder):
     """True sequential Elo per league (N1, W19): each rating depends on all results before, so a league is one ordered fold; leagues run in parallel."""
     m = matches(spark, folder).where("status = 'finished'").select("match_id", "match_date", "league_id", "home_id", "away_id", "home_score", "away_score")
-    return m.groupBy("league_id").applyInPandas(lambda g: elo_rows(g, 1500.0, 20.0, 60.0), "match_id long, league_id long, home_elo double, away_elo double")
+    m = m.repartition("league_id").sortWithinPartitions("league_id", "match_date", "match_id")
+    return m.mapInPandas(elo_stream(1500.0, 20.0, 60.0), "match_id long, league_id long, home_elo double, away_elo double")

@@ -11,6 +11,7 @@ from ledgerline.sources.views import MATCHES, TICKS, matches, table, ticks
 from ledgerline.streaming.ticks import streamed_rates
 
 from .registry import query
+from .relations import greedy_sessions
 
 
 def r6(c):
@@ -44,12 +45,12 @@ def r2_current_price(spark, folder):
 
 
 @query(f"""WITH {TICKS}, c AS (SELECT key, min(ts) + INTERVAL 20 DAY AS cutoff FROM k GROUP BY key)
-SELECT k.key, count(*) FILTER (WHERE ts <= cutoff) AS in_time, count(*) FILTER (WHERE ts > cutoff) AS late, arg_max(price, (ts, event_id)) FILTER (WHERE ts <= cutoff) AS price FROM k JOIN c ON k.key = c.key GROUP BY k.key""")
+SELECT k.key, count(*) FILTER (WHERE ts < cutoff) AS in_time, count(*) FILTER (WHERE ts >= cutoff) AS late, arg_max(price, (ts, event_id)) FILTER (WHERE ts < cutoff) AS price FROM k JOIN c ON k.key = c.key GROUP BY k.key""")
 def r3_late_data(spark, folder):
-    """Observations after a key's cut-off never change its state."""
+    """Observations at or after a key's cut-off never change its state."""
     t = ticks(spark, folder).select("event_id", "key", "ts", "price")
     cut = t.groupBy("key").agg((F.min("ts") + F.expr("interval 20 days")).alias("cutoff"))
-    ok = F.col("ts") <= F.col("cutoff")
+    ok = F.col("ts") < F.col("cutoff")
     return t.join(cut, "key").groupBy("key").agg(F.count_if(ok).alias("in_time"), F.count_if(~ok).alias("late"), F.max_by(F.when(ok, F.col("price")), F.when(ok, F.struct("ts", "event_id"))).alias("price"))
 
 
@@ -102,13 +103,15 @@ def x33_json_numbers(spark, folder):
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("k")).alias("mean_k"), F.max("k").alias("max_k"))
 
 
-@query(f"""WITH {MATCHES}, x AS (SELECT match_id, league_id, match_date, lag(match_date) OVER (PARTITION BY league_id ORDER BY match_date, match_id) AS before FROM m) SELECT league_id, count(*) FILTER (WHERE date_diff('microsecond', before, match_date) > 82800000000 OR before IS NULL) AS alerts, count(*) AS rows FROM x GROUP BY league_id""")
+@query(f"""WITH RECURSIVE {TICKS}, o AS (SELECT key, CAST(floor(epoch(ts)) AS BIGINT) AS sec, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS i FROM k),
+g AS (SELECT key, i, sec AS sent, 1::BIGINT AS alerts FROM o WHERE i = 1 UNION ALL
+ SELECT o.key, o.i, CASE WHEN o.sec - g.sent > 82800 THEN o.sec ELSE g.sent END, g.alerts + CASE WHEN o.sec - g.sent > 82800 THEN 1 ELSE 0 END FROM g JOIN o ON o.key = g.key AND o.i = g.i + 1)
+SELECT key, max(alerts) AS alerts, count(*) AS rows FROM g GROUP BY key""")
 def r6_alert_dedup(spark, folder):
-    """Alerts that aren't within 23 hours of the one before."""
-    w = Window.partitionBy("league_id").orderBy("match_date", "match_id")
-    us = F.unix_micros(F.col("match_date").cast("timestamp"))
-    m = matches(spark, folder).select("league_id", "match_id", "match_date").withColumn("gap", us - F.lag(us).over(w))
-    return m.groupBy("league_id").agg(F.count_if(F.col("gap").isNull() | (F.col("gap") > 82_800_000_000)).alias("alerts"), F.count(F.lit(1)).alias("rows"))
+    """Alerts sent where those within 23 hours of the last one sent are held back (R6): a sorted stream with the last sending as its state."""
+    t = ticks(spark, folder).select("event_id", "key", "ts", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    sent = t.repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInPandas(greedy_sessions(82_800), "event_id long, key long, session long")
+    return sent.groupBy("key").agg(F.max("session").alias("alerts"), F.count(F.lit(1)).alias("rows"))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS target, l_partkey AS child, l_shipdate, l_suppkey FROM lineitem WHERE l_returnflag = 'R'), h AS (SELECT DISTINCT l_orderkey AS target FROM lineitem WHERE l_returnflag = 'A')
