@@ -41,8 +41,16 @@ def test_queries_keep_every_row(spark, folders, name, kind):
         assert n == (0 if kind == "empty" else 11)
 
 
-def test_extraction_of_an_empty_table(spark, folders):
-    assert queries.QUERIES["op9_html_extraction"](spark, folders["empty"]).count() == 0
+@pytest.mark.parametrize("kind", ["nasty", "extra", "empty"])
+def test_extraction_of_odd_tables(spark, tmp_path, kind):
+    rows = [(1, "http://a.example/1", "<p>one"), (1, "http://a.example/1", "<p>one"), (1, "http://a.example/1", "<p>two &amp; three"), (None, None, None), (None, "http://A.example/1", "<p>no id"), (2, None, ""), (3, "", "plain"), (4, "http://a.example/4", "<")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    if kind == "extra":
+        pages = pages.withColumns({c: F.lit(7) for c in ["host", "shape", "wrapper", "nodes", "hashes", "text", "n_chars", "Content", "t"]})
+    (pages.limit(0) if kind == "empty" else pages).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(queries.QUERIES["op9_html_extraction"](spark, str(tmp_path)).collect(), key=str)
+    want = [(1, "http://a.example/1", "one", 3)] * 2 + [(1, "http://a.example/1", "two & three", 11), (None, None, "", 0), (None, "http://A.example/1", "no id", 5), (2, None, "", 0), (3, "", "plain", 5), (4, "http://a.example/4", "<", 1)]
+    assert [tuple(r) for r in got] == ([] if kind == "empty" else sorted(want, key=lambda w: str(next(r for r in got if tuple(r) == w))))
 
 
 @pytest.mark.parametrize("kind", ["nasty", "extra", "empty"])

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -437,6 +438,78 @@ def test_extraction_drops_the_template_and_keeps_the_article(spark):
     assert {(50, None, ""), (51, "odd", ""), (52, "http://b.example/x", "A one two"), (52, "http://b.example/x", "a <b> é")} <= got
 
 
+def largest_matching(a, b):
+    """Nodes are (label, children): the size of the largest matching that keeps order and depth, by definition."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(x, y):
+        return max(best(x[1:], y), best(x, y[1:]), best(x[1:], y[1:]) + largest_matching(x[0], y[0])) if x and y else 0
+
+    return 1 + best(a[1], b[1])
+
+
+def tree(skeleton):
+    labels, children = html_extract.unfold(skeleton)
+
+    def build(i):
+        return labels[i], [build(c) for c in children[i]]
+
+    return build(0)
+
+
+@given(st.lists(st.tuples(st.sampled_from("uvw"), st.integers(0, 5)), max_size=6), st.lists(st.tuples(st.sampled_from("uvw"), st.integers(0, 5)), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_tree_matching_is_the_largest(left, right):
+    one, two = ("\n".join(["0 #"] + [f"{p % (i + 1)} {tag}" for i, (tag, p) in enumerate(nodes)]) for nodes in (left, right))
+    partners = html_extract.matched(one, two)
+    assert sum(p >= 0 for p in partners) == largest_matching(tree(one), tree(two))
+    taken = [p for p in partners if p >= 0]
+    assert len(set(taken)) == len(taken)
+    (la, ca), (lb, cb) = html_extract.unfold(one), html_extract.unfold(two)
+    for a, children in enumerate(ca):
+        inner = [partners[c] for c in children if partners[c] >= 0]
+        assert all(p in cb[partners[a]] for p in inner) and inner == sorted(inner)
+    assert all(la[a] == lb[b] for a, b in enumerate(partners) if b >= 0)
+
+
+def unnamed(i):
+    """A page whose menu and closing line have no telling element or name."""
+    return f"<body><div class='r1'>Start News Weather</div><div class='r2'><p>Text of page {i}</p><p>Line {i * 7} here</p></div>{'<hr><div class=r4><p>odd ' + str(i) + '</p></div>' if i % 2 else ''}<div class='r3'>Made by us</div></body>"
+
+
+def test_extraction_is_the_vote_of_the_hosts_pages(spark):
+    pages = [(i, f"http://a.example/{i}", unnamed(i)) for i in range(12)] + [(100 + i, f"http://a.example/c{i}", unnamed(1)) for i in range(40)] + [(i, f"http://b{i}.example/", unnamed(i)) for i in range(200, 203)]
+    got = {r["page_id"]: r["text"] for r in rows(html_extract.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+
+    # By hand: a text is template where most of the host's different pages have it in one place.
+    def whole(i):
+        return html_extract.main_text(unnamed(i), None, {})
+
+    for page, _, html in pages:
+        i = page if page < 12 or page >= 200 else 1
+        pieces = [x for x in re.sub(r"<[^>]*>", "\n", html).split("\n") if x]
+        different = [unnamed(k) for k in range(12)] if page < 200 else [html]
+        kept = [x for x in pieces if len(different) < html_extract.LEAST or sum(x in d for d in different) < html_extract.CONSTANT * len(different)]
+        assert got[page].split() == " ".join(kept).split()
+        # The template decides: without it the menu stays.
+        assert (got[page] == whole(i)) == (page >= 200)
+
+
+def test_extraction_of_deep_wide_and_long_pages(spark):
+    deep = "<div>" * 100_000 + "deep text" + "</div>" * 100_000
+    wide = "".join(f"<div class='c{i}'><p>t{i}</p></div>" for i in range(3000))
+    pages = [(i, "http://a.example/", x) for i, x in enumerate([deep, deep + "<p>more</p>", "<div>" * 50_000 + "other", wide, "<p>a</p>" + wide, "<p>" + "long " * 500_000, "</i>" * 50_000 + "<b>" * 50_000 + "<p>x</p>" * 1000])]
+    got = {r["page_id"]: r["text"] for r in rows(html_extract.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    every = " ".join(f"t{i}" for i in range(3000))
+    assert got == {0: "deep text", 1: "deep text more", 2: "other", 3: every, 4: "a " + every, 5: " ".join(["long"] * 500_000), 6: " ".join("x" * 1000)}
+
+
+def test_names_of_several_meanings_need_company():
+    html = "<article><div class='share-price'>Share price rose</div><div class='share-buttons'>Tweet</div><div id='related-posts'>More</div><div class='search-party'>They looked</div><div class='x cookie-note'>We use</div><p>End</p></article>"
+    assert html_extract.main_text(html, None, {}) == "Share price rose They looked End"
+
+
 # op10
 
 
