@@ -29,11 +29,11 @@ def a18_calibration_buckets(spark, folder):
     return bins(spark, folder).select("sport", "bin", "n", r6("predicted").alias("predicted"), r6("actual").alias("actual"))
 
 
-@query(f"WITH {_BINS} SELECT sport, round(sum(n * abs(predicted - actual)) / sum(n), 6) AS ece, round(coalesce(max(CASE WHEN n >= 5 THEN abs(predicted - actual) END), 0), 6) AS mce, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY sport")
+@query(f"WITH {_BINS} SELECT sport, round(sum(n * abs(predicted - actual)) / sum(n), 6) AS ece, round(coalesce(max(CASE WHEN n >= 20 THEN abs(predicted - actual) END), 0), 6) AS mce, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY sport")
 def d33_calibration_error(spark, folder):
-    """Expected and maximum calibration error over the reduced buckets."""
+    """Expected calibration error over the reduced buckets, and the maximum over those of 20 rows or more."""
     gap = F.abs(F.col("predicted") - F.col("actual"))
-    return bins(spark, folder).groupBy("sport").agg(r6(F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), r6(F.coalesce(F.max(F.when(F.col("n") >= 5, gap)), F.lit(0.0))).alias("mce"), F.sum("n").alias("n"))
+    return bins(spark, folder).groupBy("sport").agg(r6(F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), r6(F.coalesce(F.max(F.when(F.col("n") >= 20, gap)), F.lit(0.0))).alias("mce"), F.sum("n").alias("n"))
 
 
 @query(f"""WITH {PREDICTIONS} SELECT sport, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(-ln(CASE WHEN y = 1 THEN greatest(p, 1e-6) ELSE greatest(1 - p, 1e-6) END)), 6) AS log_loss, round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy,

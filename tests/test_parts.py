@@ -1,13 +1,16 @@
 """Column functions, table operators and streams on small tables."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import grading, names, prices
 from ledgerline.operators.relational import asof_join, changed, components, insert_ignore, latest_by, optional, split_by_order, unique, upsert
+from ledgerline.plans.details import default_rate_level
 from ledgerline.plans.markets import mass, score_grid
 from ledgerline.plans.relations import greedy_sessions
-from ledgerline.streaming.ticks import event_stream, finished, streamed_moves
+from ledgerline.streaming.ticks import event_stream, finished, streamed_moves, windowed
 
 
 def one(spark, *columns):
@@ -85,3 +88,24 @@ def test_streamed_moves_are_the_batch_change_log(spark, sf):
 
     got = {r.event_id for r in finished(streamed_moves(event_stream(spark, sf)), "append").collect()}
     assert got == {r.event_id for r in change_log(ticks(spark, sf)).collect()}
+
+
+def test_a_window_is_written_once_and_late_rows_are_left_out(spark, tmp_path):
+    at = lambda day, hour: f"2024-01-{day:02d} {hour:02d}:00:00"
+    batches = [[(1, at(1, 3), 1.0), (2, at(1, 9), 3.0), (3, at(4, 1), 5.0)], [(4, at(3, 5), 7.0)], [(5, at(1, 12), 100.0), (6, at(9, 1), 1.0)]]
+    for i, rows in enumerate(batches):  # in the order of the files' times
+        d = spark.createDataFrame(rows, "event_id long, ts string, price double").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "price", F.lit("x").alias("event_type"))
+        d.coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        for f in (tmp_path / str(i)).glob("*.parquet"):
+            target = tmp_path / f"in-{i}.parquet"
+            f.rename(target)
+            os.utime(target, (1_700_000_000 + i * 3600,) * 2)
+    stream = spark.readStream.schema(d.schema).option("pathGlobFilter", "in-*").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    got = sorted((r.day // 86400 - 19723, r.n, r["mean"]) for r in finished(windowed(stream), "append").collect())
+    assert got == [(0, 2, 2.0), (2, 1, 7.0), (3, 1, 5.0)]
+
+
+def test_default_rate_levels(spark):
+    rows = [(14, 14, 99, 0, None), (20, 18, 14, 0, "warn"), (20, 17, 0, 0, None), (20, 10, 20, 5, "alert"), (20, 9, 20, 0, None), (20, 18, 20, 18, "warn"), (20, 15, 20, 11, None)]
+    d = spark.createDataFrame(rows, "n_recent long, d_recent long, n_base long, d_base long, want string")
+    assert [(r.got, r.want) for r in d.withColumn("got", default_rate_level()).collect()] == [(r[4], r[4]) for r in rows]
