@@ -9,7 +9,8 @@ The items are the stated query set: they go to the executors in blocks of at mos
 for each block, so that what is broadcast has a bound at any number of items. Documents aren't moved.
 
 Cases: null, empty and short texts (under MIN_MATCH words), of documents or items, match nothing; rows are judged one by
-one, so repeated rows and null doc_ids keep their rows; no items leave every document clean; other columns stay as they are.
+one, so repeated rows and null doc_ids keep their rows; no items leave every document clean; other columns stay as they are;
+texts of any length are compared whole.
 """
 
 from __future__ import annotations

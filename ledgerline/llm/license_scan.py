@@ -12,7 +12,8 @@ they are joined with their ancestors.
 
 Cases: null and empty texts have no license of their own and may inherit one; null paths lie in no directory; equal scores
 go to the template first by name, several licence files of a directory to the best score and then the first name; rows that
-repeat a path are judged one by one; an empty table gives no rows.
+repeat a path are judged one by one; an empty table gives no rows. Files of any length are read whole; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ The base is a unigram model of the tokens (words and the end): log10((c + 0.1) /
 
 Documents whose crc32(doc_id) mod 10 is 0 are held out; the model learns from the others. Cases: null and empty texts have one
 token, the end; a null doc_id counts as an empty id text, which is held out; rows that repeat a doc_id are documents of their own;
-without any training text every symbol has probability 1/256; an empty table gives no rows.
+without any training text every symbol has probability 1/256; an empty table gives no rows. Texts of any length are scored whole; equal texts have
+equal scores, as held-out or training rows alike; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

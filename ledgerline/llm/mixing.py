@@ -7,7 +7,8 @@ takes whole epochs first and cuts the last one; the document that crosses the cu
 
 Cases: null source is a source of its own and sorts last; null, empty and blank texts have size 0 and are taken 0 times a
 word; rows with a null doc_id get their key from their text; rows that repeat a doc_id are mixed row by row; an empty
-table gives no rows. Extra columns are ignored by the query and kept by the stage.
+table gives no rows. Only a text's number of words counts, whatever its length. Extra columns are ignored by the query and
+kept by the stage.
 """
 
 from __future__ import annotations

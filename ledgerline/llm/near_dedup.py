@@ -7,8 +7,8 @@ signatures agree at a coordinate with the probability of their weighted Jaccard
 
 Cases: documents without words (null, empty, white space) and rows with a null doc_id are classes of their own. Documents
 of one to four words have one shingle, all their words. Documents whose words are the same are copies and are joined by a
-128-bit digest before any signature is compared. Rows that repeat a doc_id with another text are judged by their own text. Other
-columns are ignored.
+128-bit digest before any signature is compared. Rows that repeat a doc_id with another text are judged by their own text. Texts
+of any length are compared whole. Other columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

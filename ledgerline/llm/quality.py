@@ -9,7 +9,7 @@ is not judged.
 
 Cases: null, empty and blank texts have no words and fail the counting rules; null or unknown lang uses the reference of
 all documents; rows are judged one by one, so repeated rows and null doc_ids keep their rows; an empty table gives no
-rows. Extra columns are ignored by the query and kept by the stage.
+rows. Texts of any length are counted whole. Extra columns are ignored by the query and kept by the stage.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Exact copies of a whole text are found by digest first and are no suffixes of th
 more is covered. The texts are shuffled once, to a bucketed table that later joins read in place.
 
 Cases: null is empty; a null doc_id comes before all others; rows of equal doc_id aren't earlier than one another; texts
-shorter than LENGTH bytes lose nothing; matches don't cross texts; an empty table gives no rows.
+shorter than LENGTH bytes lose nothing; matches don't cross texts; an empty table gives no rows; texts of any length are
+searched whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ second transducer is a whole pre-token, annotated with the number of tokens that
 when first met and forgotten when there are too many.
 
 Cases: null is empty and has no tokens; a special token's string inside a text is one token, as the library's default has
-it; texts of any length are counted whole; rows are counted one by one, so repeated rows and null doc_ids keep their rows.
+it; texts of any length are counted whole; rows are counted one by one, so repeated rows and null doc_ids keep their rows; an
+empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

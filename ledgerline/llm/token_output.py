@@ -9,7 +9,8 @@ resumes at slot n by shard n // SHARD and byte (n % SHARD) * stride.
 
 Cases: null and empty texts are one sequence of end tokens; rows that repeat a doc_id are documents of their own; a null
 doc_id stays null in doc_ids; texts are tokenised whole; an empty table gives no shard. Numbers follow the order of the
-input's files; over the same files and split size a rerun gives the same shards.
+input's files; over the same files and split size a rerun gives the same shards. Other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
