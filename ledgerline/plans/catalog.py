@@ -1,3 +1,3 @@
 """Imports the query modules, which register themselves."""
 
-from . import details, features, ingest, markets, monitoring, records, relations  # noqa: F401
+from . import details, features, frames, ingest, markets, monitoring, records, relations  # noqa: F401
