@@ -15,13 +15,13 @@ def total(values: Column) -> Column:
 
 
 def devig_proportional(odds: Column, to: float = 1.0) -> Column:
-    """Fair probabilities of an array of odds, in proportion; null unless all odds exceed 1."""
+    """Fair probabilities of an array of odds, in proportion; null unless all odds exceed 0."""
     raw = F.transform(odds, implied)
-    return F.when(F.forall(odds, lambda o: o > 1), F.transform(raw, lambda p: p * to / total(raw)))
+    return F.when(F.forall(odds, lambda o: o > 0), F.transform(raw, lambda p: p * to / total(raw)))
 
 
 def devig_power(odds: Column, to: float = 1.0, steps: int = 100) -> Column:
-    """Fair probabilities p ** k with k found by bisection on [0.05, 50]; a fold over the steps, so it stays in the JVM."""
+    """Fair probabilities p ** k with k found by bisection on [0.05, 50]; a fold over the steps, so it stays in the JVM. In proportion where an odd is 1 or less."""
     raw = F.transform(odds, implied)
     power = lambda k: F.aggregate(raw, F.lit(0.0), lambda a, p: a + F.pow(p, k))
 
@@ -31,7 +31,8 @@ def devig_power(odds: Column, to: float = 1.0, steps: int = 100) -> Column:
         return F.struct(F.when(more, mid).otherwise(state["lo"]).alias("lo"), F.when(more, state["hi"]).otherwise(mid).alias("hi"))
 
     k = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.05).alias("lo"), F.lit(50.0).alias("hi")), half, lambda s: (s["lo"] + s["hi"]) / 2)
-    return F.when(F.forall(odds, lambda o: o > 1), F.element_at(F.transform(F.array(k), lambda x: F.transform(raw, lambda p: F.pow(p, x))), 1))
+    power_shares = F.element_at(F.transform(F.array(k), lambda x: F.transform(raw, lambda p: F.pow(p, x))), 1)
+    return F.when(F.forall(odds, lambda o: o > 1), power_shares).otherwise(devig_proportional(odds, to))
 
 
 def devig_shin(odds: Column, steps: int = 80) -> Column:

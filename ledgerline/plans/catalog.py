@@ -1,3 +1,3 @@
 """Imports the query modules, which register themselves."""
 
-from . import decisions, details, features, frames, ingest, markets, monitoring, records, relations  # noqa: F401
+from . import decisions, details, features, feeds, frames, ingest, markets, monitoring, records, relations  # noqa: F401

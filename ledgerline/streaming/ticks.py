@@ -13,8 +13,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that all executors share; where spark.checkpoint.dir isn't set, as in tests, a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}"
+    """A new path in the folder that all executors share; where spark.checkpoint.dir isn't set, a local one in local mode only, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='stream-')}"
     return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -22,7 +22,7 @@ def test_margin_removal(spark):
     for f in (prices.devig_proportional, prices.devig_power, prices.devig_shin):
         p = one(spark, f(odds))[0]
         assert sum(p) == pytest.approx(1) and p == sorted(p, reverse=True)
-    assert one(spark, prices.devig_proportional(F.array(F.lit(1.0), F.lit(3.0))))[0] is None
+    assert one(spark, prices.devig_proportional(F.array(F.lit(0.0), F.lit(3.0))))[0] is None
 
 
 def test_prices(spark):
@@ -109,3 +109,51 @@ def test_default_rate_levels(spark):
     rows = [(14, 14, 99, 0, None), (20, 18, 14, 0, "warn"), (20, 17, 0, 0, None), (20, 10, 20, 5, "alert"), (20, 9, 20, 0, None), (20, 18, 20, 18, "warn"), (20, 15, 20, 11, None)]
     d = spark.createDataFrame(rows, "n_recent long, d_recent long, n_base long, d_base long, want string")
     assert [(r.got, r.want) for r in d.withColumn("got", default_rate_level()).collect()] == [(r[4], r[4]) for r in rows]
+
+
+def test_margins_with_odds_of_one_or_less(spark):
+    from ledgerline.functions import prices
+
+    df = spark.createDataFrame([(1, [1.0, 4.0]), (2, [0.0, 2.0]), (3, [2.0, 2.0])], "id int, o array<double>")
+    got = {r.id: (r.a, r.b) for r in df.select("id", prices.devig_proportional(F.col("o")).alias("a"), prices.devig_power(F.col("o")).alias("b")).collect()}
+    assert got[1][0] == got[1][1] == pytest.approx([0.8, 0.2]) and got[2] == (None, None) and got[3][1] == pytest.approx([0.5, 0.5])
+
+
+def test_bytes_of_feeds(spark):
+    from ledgerline.sources.files import decoded
+
+    raw = [(1, "é".encode()), (2, b"\xef\xbb\xbfa"), (3, b"\x80\x9f\xe9"), (4, b"")]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in raw], "id int, raw binary")
+    got = {r.id: tuple(r.d) for r in df.select("id", decoded(F.col("raw"), F.lit("feed.csv")).alias("d")).collect()}
+    assert got == {1: ("é", "utf-8"), 2: ("a", "utf-8"), 3: ("€Ÿé", "cp1252"), 4: ("", "utf-8")}
+    bad = spark.createDataFrame([(bytearray(b"\x81\xe9"),)], "raw binary")
+    with pytest.raises(Exception, match="feed.csv: neither"):
+        bad.select(decoded(F.col("raw"), F.lit("feed.csv")).alias("d")).collect()
+
+
+def test_exports_are_written_once(spark, tmp_path):
+    from ledgerline.sources.files import ragged_csv, write_once
+
+    write_once(spark.range(3), f"{tmp_path}/a")
+    with pytest.raises(Exception, match="(?i)exist"):
+        write_once(spark.range(5), f"{tmp_path}/a")
+    assert spark.read.option("header", "true").csv(f"{tmp_path}/a").count() == 3
+    (tmp_path / "r.csv").write_text("a,b\n1,x\n2,y,z\n3\n4,p,q,r,s\n")
+    assert sorted(map(tuple, ragged_csv(spark, f"{tmp_path}/r.csv", "a int, b string").collect())) == [(1, "x"), (3, None)]
+
+
+def test_cache_expires_at_its_moment_and_by_version(spark):
+    from ledgerline.sources.files import through_cache
+
+    cache = spark.createDataFrame([(1, 10, "v2", 100), (2, 20, "v2", 50), (3, 30, "v1", 100)], "key int, n int, version string, expires_at int")
+    seen = []
+    compute = lambda rows: seen.append(sorted(r.key for r in rows.collect())) or rows.withColumn("n", F.lit(0))
+    got = through_cache(spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "key int"), cache, ["key"], "v2", F.lit(50), compute)
+    assert sorted(map(tuple, got.select("key", "n", "cached").collect())) == [(1, 10, True), (2, 0, False), (3, 0, False), (4, 0, False)] and seen == [[2, 3, 4]]
+
+
+def test_blend_weights_have_a_floor():
+    from ledgerline.plans.decisions import floored
+
+    w = floored([0.0, 0.0, -20.0])
+    assert sum(w) == pytest.approx(1) and w[2] == pytest.approx(0.05 / 1.05)
