@@ -226,3 +226,37 @@ def x15_travel(spark, folder):
     lat, lon = lambda t: (F.col(t) * 7 % 50 + 10).cast("double"), lambda t: (F.col(t) * 13 % 240 - 120).cast("double")
     km = haversine(lat("home_id"), lon("home_id"), lat("away_id"), lon("away_id"))
     return matches(spark, folder).select("match_id", F.round(km, 4).alias("km"), F.abs(F.floor(lon("home_id") / 15) - F.floor(lon("away_id") / 15)).alias("zones"))
+
+
+_CELLS = {f"{r}_{t}": (test, over) for r, test in _SIGNS.items() for t, over in (("under", False), ("over", True))}
+ROUNDS = 100
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT p_partkey AS id, (p_size % 10 + 5)::DOUBLE / 10 AS h, (p_partkey % 8 + 5)::DOUBLE / 10 AS a, (p_size % 5 + 2)::DOUBLE AS wh, 2.0::DOUBLE AS wd, (p_partkey % 4 + 2)::DOUBLE AS wa, (p_partkey % 7 + 2)::DOUBLE / 10 AS tv FROM part), i AS (SELECT CAST(range AS INTEGER) AS i FROM range({GOALS + 1})), j AS (SELECT i AS j FROM i),
+ g AS (SELECT s.*, i, j, pow(h, i) / factorial(i) * pow(a, j) / factorial(j) AS p FROM s, i, j),
+ b AS (SELECT id, any_value(wh / (wh + wd + wa)) AS th, any_value(wd / (wh + wd + wa)) AS td, any_value(wa / (wh + wd + wa)) AS ta, any_value(tv) AS tv, sum(p) FILTER (WHERE i = 1 AND j = 1) / sum(p) AS one_one, {", ".join(f"sum(p) FILTER (WHERE {dict(home='i > j', draw='i = j', away='i < j')[k.split('_')[0]]} AND i + j {'>' if over else '<'} 2.5) / sum(p) AS {k}" for k, (_, over) in _CELLS.items())} FROM g GROUP BY id),
+ f AS (SELECT id, 0 AS n, th, td, ta, tv, {", ".join(_CELLS)} FROM b
+ UNION ALL SELECT id, n + 1, th, td, ta, tv, home_under * x * u, home_over * x * o, draw_under * y * u, draw_over * y * o, away_under * z * u, away_over * z * o FROM (SELECT *, (1 - tv) / (home_under * x + draw_under * y + away_under * z) AS u, tv / (home_over * x + draw_over * y + away_over * z) AS o FROM
+  (SELECT *, th / (home_under + home_over) AS x, td / (draw_under + draw_over) AS y, ta / (away_under + away_over) AS z FROM f WHERE n < {ROUNDS})))
+SELECT f.id, {", ".join(f"round(f.{k}, 6) AS {k}" for k in _CELLS)}, round(b.one_one * f.draw_under / b.draw_under, 6) AS one_one FROM f JOIN b ON b.id = f.id WHERE n = {ROUNDS}""")
+def d24_fitted_marginals(spark, folder):
+    """A score grid fitted to the market's result and total of 2.5 by iterative proportional fitting (D24). Stand-ins: a part is a match, its rates and prices come from its numbers, goals are independent.
+
+    Both marginals only see six blocks of the grid (result by under or over), so the fit runs on six numbers in the row, and all cells of a block share its factor."""
+    p, size = F.col("p_partkey"), F.col("p_size")
+    goals = F.sequence(F.lit(0), F.lit(GOALS))
+    raw = lambda rate: F.transform(goals, lambda i: F.pow(rate, i) / F.factorial(i))
+    wh, wd, wa = size % 5 + 2, F.lit(2), p % 4 + 2
+    s = table(spark, folder, "part").select(p.alias("id"), raw((size % 10 + 5) / 10).alias("h"), raw((p % 8 + 5) / 10).alias("a"), F.array(*[w / (wh + wd + wa) for w in (wh, wd, wa)]).alias("t"), ((p % 7 + 2) / 10).alias("tv"))
+    whole = added(F.col("h")) * added(F.col("a"))
+    cell = lambda i, j: F.get("h", F.lit(i)) * F.get("a", F.lit(j))
+    block = lambda test, over: sum((cell(i, j) for i in range(GOALS + 1) for j in range(GOALS + 1) if test(i - j) and (i + j > 2.5) == over), F.lit(0.0)) / whole
+    s = s.select("id", "t", "tv", (cell(1, 1) / whole).alias("one_one"), F.array(*[block(*x) for x in _CELLS.values()]).alias("b"))
+
+    def step(b, _):
+        by_result = F.array(*[b[k] * F.get("t", F.lit(k // 2)) / (b[k // 2 * 2] + b[k // 2 * 2 + 1]) for k in range(6)])
+        both = lambda b: F.array(*[b[k] * (F.col("tv") if k % 2 else 1 - F.col("tv")) / (b[k % 2] + b[k % 2 + 2] + b[k % 2 + 4]) for k in range(6)])
+        return F.element_at(F.transform(F.array(by_result), both), 1)
+
+    f = s.select("*", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.col("b"), step).alias("f"))
+    return f.select("id", *[r6(F.get("f", F.lit(k))).alias(n) for k, n in enumerate(_CELLS)], r6(F.col("one_one") * F.get("f", F.lit(2)) / F.get("b", F.lit(2))).alias("one_one"))
