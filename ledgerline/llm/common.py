@@ -51,12 +51,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); where none is set, as in tests, one in the local temp folder."""
+    """The folder that all executors share (spark.checkpoint.dir); where none is set, one in the local temp folder in local mode, as in tests, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             found = jdir.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             found = f"file://{tempfile.mkdtemp(prefix='work-')}"
             spark.sparkContext.setCheckpointDir(found)

@@ -105,3 +105,18 @@ def test_stages_tell_rows_of_one_doc_id_apart(spark, tmp_path):
     left = 1.5 * sum(sizes.values()) - 2 * sizes["cold"]
     assert taken["cold"] == 2 * sizes["cold"]
     assert taken["hot"] == pytest.approx(min(2 * sizes["hot"], max(left * 2 / 3, left - 2 * sizes["web"])), abs=1500)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from unittest.mock import MagicMock
+
+    from ledgerline.llm.common import shared_dir
+
+    session = MagicMock()
+    session.conf.get.return_value = None
+    session.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    session.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(session)
+    session.conf.get.return_value = "hdfs://shared/work"
+    assert shared_dir(session) == "hdfs://shared/work"
