@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extract, license_scan, lm_score, mixing, near_dedup, quality, suffix_dedup, token_counts, token_output
+from . import alignment, decontamination, html_extract, license_scan, lm_score, mixing, near_dedup, quality, suffix_dedup, token_counts, token_output
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_html_extraction": html_extract.op9_html_extraction,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_token_alignment": alignment.op11_token_alignment,
 }
 ORACLE: dict[str, str] = {
     "op7_mixing": mixing.ORACLE,
