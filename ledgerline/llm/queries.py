@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontamination, html_extract, license_scan, lm_score, mixing, near_dedup, quality, suffix_dedup, token_counts, token_output
+from . import alignment, decontamination, html_extract, license_scan, lm_score, mixing, near_dedup, packing, quality, suffix_dedup, token_counts, token_output, turn_repair
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_html_extraction": html_extract.op9_html_extraction,
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_packing": packing.op12_packing,
+    "op13_turn_repair": turn_repair.op13_turn_repair,
 }
 ORACLE: dict[str, str] = {
     "op7_mixing": mixing.ORACLE,
