@@ -18,6 +18,9 @@ pieces. Other columns are not read, whatever their names. Strings of special tok
 
 from __future__ import annotations
 
+import json
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,22 +47,54 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 # Ids of texts
 
 
+#: Stands for the end of a word in the merges of _encoder; parts that hold it themselves are left to the library.
+_CLOSE = "\0"
+_PLAIN = re.compile("[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+
+
 @lru_cache(2)
 def _encoder(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
+    """The library's encoder, one of single words, and a memo.
 
+    A part of Latin letters only is one word of the tokenizer: its letters in lower case, joined by the vocabulary's merges, the last one
+    marked. Those merges run in a library of merges by rank; all else (digits, marks, other letters, special tokens) in the library that
+    defines the ids."""
+    import tiktoken
+    from tokenizers import Tokenizer
 
-def _ids(parts: list[str], path: str) -> list[np.ndarray]:
-    """The ids of each part, each distinct part encoded once."""
-    library, memo = _encoder(path)
+    library = Tokenizer.from_file(path)
+    model = json.loads(library.to_str())["model"]
+    end = model["end_of_word_suffix"]
+    # Byte-level spelling: printable Latin-1 characters are their own bytes, the others follow from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    raw = lambda token: bytes(byte[c] for c in token.removesuffix(end)) + (_CLOSE.encode() if token.endswith(end) and token != end else b"")
+    close = _CLOSE.encode()
+    order = [bytes([b]) for b in range(256)] + [bytes([b]) + close for b in range(256)]
+    order += [raw("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    ranks = {token: k for k, token in enumerate(dict.fromkeys(order))}
+    ids = {raw(t): i for t, i in model["vocab"].items()}
+    merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    of_rank = [ids.get(token, -1) for token in ranks]
+    memo: dict[str, bytes] = {}
+    return library, merge, of_rank, memo
+
+
+def _ids(parts: list[str], path: str) -> list[bytes]:
+    """The ids of each part (16-bit), each distinct part encoded once."""
+    library, merge, of_rank, memo = _encoder(path)
     new = [x for x in parts if x not in memo]
-    if new:
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = parts
-        memo.update(zip(new, (np.array(e.ids, np.uint16) for e in library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+    if len(memo) + len(new) > MEMO:
+        memo.clear()
+        new = parts
+    odd = []
+    for x in new:
+        if _PLAIN.fullmatch(x):
+            memo[x] = array("H", [of_rank[k] for k in merge(x.lower() + _CLOSE)]).tobytes()
+        else:
+            odd.append(x)
+    for x, e in zip(odd, library.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+        memo[x] = array("H", e.ids).tobytes()
     return [memo[x] for x in parts]
 
 
@@ -80,21 +115,21 @@ def encode(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray
     first[at] = word[at]
     starts = np.flatnonzero(first | stop)
     of_row = np.searchsorted(starts, offsets)
-    inked = np.concatenate(([0], np.cumsum(word)))
+    inked = np.concatenate(([0], np.cumsum(word, dtype=np.int32)))
     bounds = np.append(inked[starts], inked[-1]).astype(np.int64)
     # Bytes above 0xC3 may begin a combining mark or a letter whose composition depends on the case; "<|" may begin a special token.
     fixed = data > 0xC3
     fixed[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
-    kept = np.diff(np.concatenate(([0], np.cumsum(fixed)))[np.append(starts, len(data))]) > 0
+    kept = np.diff(np.concatenate(([0], np.cumsum(fixed, dtype=np.int32)))[np.append(starts, len(data))]) > 0
     own = data[word]
     letters = np.where(np.repeat(kept, np.diff(bounds)), own, LOWER[own])
     parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(letters))).dictionary_encode()
     ids = _ids(parts.dictionary.to_pylist(), path)
     codes = parts.indices.to_numpy(zero_copy_only=False)
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
     begin, n = np.cumsum(sizes) - sizes, sizes[codes]
     ends = np.cumsum(n)
-    flat = np.concatenate([*ids, np.zeros(0, np.uint16)])[np.repeat(begin[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    flat = np.frombuffer(b"".join(ids), np.uint16)[np.repeat(begin[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
     cut = np.concatenate(([0], ends))[of_row]
     return np.insert(flat, cut[1:], END), cut + np.arange(len(cut))
 

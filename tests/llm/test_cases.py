@@ -34,13 +34,15 @@ def plain(row):
     return repr([round(x, 6) if isinstance(x, float) else x for x in row])
 
 
-@pytest.mark.parametrize("name", [q for q in queries.QUERIES if q != "op9_html_extraction"])
+@pytest.mark.parametrize("name", [q for q in queries.QUERIES if q not in ("op9_html_extraction", "op13_turn_repair")])
 def test_queries_keep_every_row(spark, folders, name):
     assert queries.QUERIES[name](spark, folders["empty"]).count() == 0
     got = queries.QUERIES[name](spark, folders["nasty"])
     rows = got.collect()
     if name == "op6_token_output":
         assert sum(len(r.doc_ids) for r in rows) >= 11
+    elif name == "op12_packing":
+        assert sorted(str(r.doc_id) for r in rows if r.start == 0) == sorted(map(str, [1, 1, 2, None, None, 3, 4, 5, 6, 7, 1]))
     else:
         ids = [1, 1, 2, None, None, 3, 4, 5, 6, 7, 1]
         assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in rows)

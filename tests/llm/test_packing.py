@@ -50,6 +50,14 @@ def test_ids_of_any_text(library, texts):
     assert encoded(texts) == [ids_of(t, library) for t in texts]
 
 
+def test_ids_of_words_and_of_the_vocabulary(library):
+    draw = random.Random(8)
+    letters = "aaeeiioottnnssrrhhldcumfpgwybvkxjqzéüßçÉ"
+    made = ["".join(draw.choice(letters) for _ in range(draw.randrange(1, 14))) for _ in range(20_000)]
+    made += [t.removesuffix("</w>") for t in library.get_vocab() if t.isascii()] + ["supercalifragilistic" * 30]
+    assert encoded(made) == [ids_of(t, library) for t in made]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(0, 3), max_size=5), st.integers(0, 40))
 def test_fill_comes_closest(counts, room):
