@@ -14,25 +14,26 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def devig_proportional(odds: Column, to: float = 1.0) -> Column:
+def devig_proportional(odds: Column, to: Column | float = 1.0) -> Column:
     """Fair probabilities of an array of odds, in proportion; null unless all odds exceed 0."""
     raw = F.transform(odds, implied)
     return F.when(F.forall(odds, lambda o: o > 0), F.transform(raw, lambda p: p * to / total(raw)))
 
 
-def devig_power(odds: Column, to: float = 1.0, steps: int = 100) -> Column:
-    """Fair probabilities p ** k with k found by bisection on [0.05, 50]; a fold over the steps, so it stays in the JVM. In proportion where an odd is 1 or less."""
-    raw = F.transform(odds, implied)
-    power = lambda k: F.aggregate(raw, F.lit(0.0), lambda a, p: a + F.pow(p, k))
-
-    def half(state: Column, _: Column) -> Column:
-        mid = (state["lo"] + state["hi"]) / 2
-        more = power(mid) > to
-        return F.struct(F.when(more, mid).otherwise(state["lo"]).alias("lo"), F.when(more, state["hi"]).otherwise(mid).alias("hi"))
+def devig_power(odds: Column, to: Column | float = 1.0, steps: int = 10) -> Column:
+    """Fair probabilities p ** k of odds above 1, with k in [0.05, 50] such that they sum to `to`; in proportion where there is no such k.
 
-    k = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.05).alias("lo"), F.lit(50.0).alias("hi")), half, lambda s: (s["lo"] + s["hi"]) / 2)
-    power_shares = F.element_at(F.transform(F.array(k), lambda x: F.transform(raw, lambda p: F.pow(p, x))), 1)
-    return F.when(F.forall(odds, lambda o: o > 1), power_shares).otherwise(devig_proportional(odds, to))
+    The logarithm of the sum is convex and falls in k, so Newton's steps from a k below the root rise to it; a fold over few steps in the JVM."""
+    raw = F.transform(odds, implied)
+    goal = F.ln(to if isinstance(to, Column) else F.lit(float(to)))
+    sums = lambda k: F.aggregate(raw, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("d")), lambda a, p: F.struct((a["s"] + F.pow(p, k)).alias("s"), (a["d"] + F.pow(p, k) * F.ln(p)).alias("d")))
+    move = lambda k, x: k - (F.ln(x["s"]) - goal) * x["s"] / x["d"]
+    step = lambda k, _: F.get(F.transform(F.array(sums(k)), lambda x: move(k, x)), 0)
+    start = F.when(total(raw) > F.exp(goal), 1.0).otherwise(0.05)
+    k = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+    shares = F.get(F.transform(F.array(k), lambda x: F.when(x.between(0.05, 50.0), F.transform(raw, lambda p: F.pow(p, x)))), 0)
+    fair = F.get(F.transform(F.array(shares), lambda f: F.transform(f, lambda v: v * F.exp(goal) / total(f))), 0)
+    return F.when(F.forall(odds, lambda o: o > 1) & (F.size(odds) > 1), F.coalesce(fair, devig_proportional(odds, to))).otherwise(devig_proportional(odds, to))
 
 
 def devig_shin(odds: Column, steps: int = 80) -> Column:

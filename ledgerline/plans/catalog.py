@@ -1,3 +1,3 @@
 """Imports the query modules, which register themselves."""
 
-from . import decisions, details, features, feeds, frames, ingest, markets, monitoring, records, relations  # noqa: F401
+from . import catalogs, decisions, details, features, feeds, fits, frames, gates, identity, ingest, markets, monitoring, payloads, records, relations, streams  # noqa: F401

@@ -39,8 +39,8 @@ def x3_devig_proportional(spark, folder):
  UNION ALL SELECT match_id, book, p, r, CASE WHEN pow(p, (lo + hi) / 2) + pow(r, (lo + hi) / 2) > 1 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN pow(p, (lo + hi) / 2) + pow(r, (lo + hi) / 2) > 1 THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM s WHERE i < 60)
 SELECT match_id, book, round(pow(p, (lo + hi) / 2), 5) AS home, round(pow(r, (lo + hi) / 2), 5) AS away FROM s WHERE i = 60""")
 def x4_devig_power(spark, folder):
-    """Power margin removal, the exponent by bisection inside the expression: no Python, no shuffle."""
-    p = prices.devig_power(F.col("o"), steps=60)
+    """Power margin removal, the exponent by Newton's steps inside the expression: no Python, no shuffle (X4). The oracle bisects."""
+    p = prices.devig_power(F.col("o"))
     return two_way(spark, folder).withColumn("p", p).select("match_id", "book", F.round(F.col("p")[0], 5).alias("home"), F.round(F.col("p")[1], 5).alias("away"))
 
 
