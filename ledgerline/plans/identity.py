@@ -19,7 +19,7 @@ def clubs(spark, folder) -> DataFrame:
     """A part as a club: its words, its kind of brand and hundred of keys as country, a day of its last match (some have none)."""
     p = table(spark, folder, "part")
     day = F.when(F.col("p_partkey") % 9 != 0, F.date_sub(F.lit(AS_OF), (F.col("p_partkey") * 37 % 2000).cast("int")))
-    return p.select(F.col("p_partkey").alias("club_id"), F.initcap(F.concat_ws(" ", "p_name", "p_type", F.when(F.col("p_partkey") % 3 != 1, F.col("p_size").cast("string")))).alias("name"), F.concat_ws("/", F.substring("p_brand", 1, 7), (F.col("p_partkey") / 100).cast("int").cast("string")).alias("country"), day.alias("last_played"))
+    return p.select(F.col("p_partkey").alias("club_id"), F.initcap(F.when(F.col("p_partkey") % 5 == 1, F.concat_ws(" ", "p_type", F.lit("Rovers"))).otherwise(F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string")))).alias("name"), F.concat_ws("/", F.substring("p_brand", 1, 7), (F.col("p_partkey") / 100).cast("int").cast("string")).alias("country"), day.alias("last_played"))
 
 
 def spoken(name: Column, k: Column) -> Column:
