@@ -197,8 +197,8 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
-def scanned(files: DataFrame) -> DataFrame:
-    """key, license, score, how ('own', 'inherited' or 'none'), directory (of the licence file) for each row of files (key, path, text).
+def scanned(files: DataFrame, *keep: str) -> DataFrame:
+    """key, keep, license, score, how ('own', 'inherited' or 'none'), directory (of the licence file) for each row of files (key, path, text, keep).
 
     key identifies a row.
     """
@@ -207,7 +207,7 @@ def scanned(files: DataFrame) -> DataFrame:
     own = found.groupBy("key").agg(F.max_by(F.struct("license", "score"), F.struct("titled", _order(F.col("license"), F.col("score")))).alias("own"), F.greatest(*inside).alias("matched"), F.bool_or("titled").alias("titled"))
     own = stored(own, "licenses")
     parent = F.when(F.col("path").isNotNull(), F.regexp_replace("path", "/?[^/]*$", ""))
-    placed = files.select("key", parent.alias("directory"), word_count(F.col("text")).alias("words"))
+    placed = files.select("key", *keep, parent.alias("directory"), word_count(F.col("text")).alias("words"))
     rows = stored(placed.join(own, "key", "left"), "placed")
     notices = rows.where((F.col("titled") | (F.col("matched") >= FILE_SHARE * F.col("words"))) & F.col("directory").isNotNull())
     held = notices.groupBy("directory").agg(F.max_by("own", _order(F.col("own.license"), F.col("own.score"))).alias("held")).withColumnRenamed("directory", "above")
@@ -218,11 +218,13 @@ def scanned(files: DataFrame) -> DataFrame:
     got = F.coalesce(F.col("own"), F.col("near.held"))
     how = F.when(F.col("own").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited").otherwise("none")
     where = F.when(F.col("own").isNotNull(), F.col("directory")).otherwise(F.col("near.above"))
-    return out.select("key", got["license"].alias("license"), got["score"].alias("score"), how.alias("how"), where.alias("directory"))
+    return out.select("key", *keep, got["license"].alias("license"), got["score"].alias("score"), how.alias("how"), where.alias("directory"))
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:
     """Every document, as the file source/lang/doc_id, with its license."""
     docs = table(spark, sf_dir, "documents")
-    files = docs.select(F.col("doc_id").alias("key"), F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string")).alias("path"), "text")
-    return scanned(files).withColumnRenamed("key", "doc_id")
+    # A row is known by its file and its place in it, which every scan finds again; doc_ids may repeat or be null.
+    row = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string"))
+    return scanned(docs.select(row.alias("key"), "doc_id", path.alias("path"), "text"), "doc_id").drop("key")

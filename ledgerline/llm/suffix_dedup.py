@@ -7,8 +7,8 @@ polynomial prefix hashes: the common extension of two places, to the left and to
 each place is extended against the earliest of its group (ROUNDS times, with the earliest of those that are left); the windows that
 found no source so are suffixes for a merge sort, whose comparisons search the common extension in the same way (to
 LENGTH bytes, which is what a match means) and then look at the next byte. Equal neighbours are matches. Matches are verified
-byte by byte. Anchors of more than CROWD places send their windows through a plain group by 128-bit window hash instead, so that
-no task gets all of them.
+byte by byte. Anchors of more than CROWD places send their windows through a plain group by the windows' bytes instead, with the same
+result, so that no task gets all of them.
 
 Exact copies of a whole text are found by digest first and are no suffixes of their own: all of a copy of LENGTH bytes or
 more is covered. The texts are shuffled once, to a bucketed table that later joins read in place.
@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASES, grouped_offsets, mix, pieces, powers, prefix_hash, shared_dir, ship, span_hash, stored, table
+from .common import grouped_offsets, pieces, powers, prefix_hash, shared_dir, ship, span_hash, stored, table
 
 LENGTH = 100
 SEED = 32
@@ -126,15 +126,6 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out = {k: [] for k in out}
 
 
-def window_hashes(context: np.ndarray, base: int) -> np.ndarray:
-    """Hashes of a context's windows: column o is the window that starts o bytes before the anchor."""
-    up, down = powers(CONTEXT + 1, base)
-    prefix = np.zeros((len(context), CONTEXT + 1), np.uint64)
-    np.cumsum((context.astype(np.uint64) + np.uint64(1)) * up[:CONTEXT], axis=1, out=prefix[:, 1:])
-    at = SPAN - 1 - np.arange(SPAN)
-    return mix((prefix[:, at + LENGTH] - prefix[:, at]) * down[at])
-
-
 def _windows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Contexts as a matrix, the anchors' places, and row and offset of every window that an anchor stands for."""
     context = np.frombuffer(b"".join(b.column("context").to_pylist()), np.uint8).reshape(-1, CONTEXT)
@@ -304,16 +295,20 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, b.num_rows, 2000):
             part = b.slice(at, 2000)
             context, place, row, offset = _windows(part)
-            a, c = (window_hashes(context, x)[row, offset] for x in _BASES)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(part.column("ord").to_numpy()[row]), pa.array(part.column("rid").to_numpy()[row]), pa.array(place[row] - offset)], names=["a", "c", "ord", "rid", "start"])
+            view = np.lib.stride_tricks.sliding_window_view(context, LENGTH, axis=1)[row, SPAN - 1 - offset]
+            window = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(row), [None, pa.py_buffer(np.ascontiguousarray(view))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([window, pa.array(part.column("ord").to_numpy()[row]), pa.array(part.column("rid").to_numpy()[row]), pa.array(place[row] - offset)], names=["window", "ord", "rid", "start"])
 
 
 def crowded_matches(contexts: DataFrame) -> DataFrame:
-    """Spans of windows of crowded anchors: a group by window hash with map-side minima, and a join back."""
-    rows = contexts.mapInArrow(_window_rows, "a long, c long, ord long, rid long, start long")
-    first = rows.groupBy("a", "c").agg(F.min(F.struct("ord", "start")).alias("first"))
-    later = rows.join(first, ["a", "c"]).where((F.col("ord") > F.col("first.ord")) | ((F.col("ord") == F.col("first.ord")) & (F.col("start") > F.col("first.start"))))
-    return later.select("rid", "start", (F.col("start") + LENGTH).alias("end"))
+    """Spans of windows of crowded anchors: groups of the windows' bytes, so nothing is left to verify.
+
+    A window is matched if a smaller ord holds it, or its own row at an earlier start; rows of equal ord match neither each other."""
+    rows = contexts.mapInArrow(_window_rows, "window binary, ord long, rid long, start long")
+    own = rows.groupBy("window", "ord", "rid").agg(F.collect_set("start").alias("starts"))
+    least = own.groupBy("window").agg(F.min("ord").alias("least"))
+    each = own.join(least, "window").select("rid", (F.col("ord") > F.col("least")).alias("later"), F.array_min("starts").alias("first"), F.explode("starts").alias("start"))
+    return each.where("later or start > first").select("rid", "start", (F.col("start") + LENGTH).alias("end"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -247,6 +247,29 @@ def test_suffix_dedup_is_brute_force(spark, texts, crowd, monkeypatch):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (n, removed, runs, sha), i
 
 
+@pytest.mark.parametrize("crowd", [40_000, 3, 1])
+def test_suffix_dedup_of_rows_that_share_an_id(spark, crowd, monkeypatch):
+    """Rows of one doc_id, or of none, are not earlier than each other, but a row's own earlier start counts."""
+    import random
+
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    draw = random.Random(6)
+    p, q = ("".join(draw.choice("abcdefgh ") for _ in range(150)) for _ in range(2))
+    docs = [(5, "A" + p), (5, "Bxyz" + p + "--" + p), (None, q + "1"), (None, "22" + q + "-" + q), (3, "short"), (7, p + q), (7, "only " + q), (5, "A" + p)]
+    want = []
+    for i, t in docs:
+        b, gone = t.encode(), set()
+        before = lambda j, i=i: (j is None and i is not None) or (j is not None and i is not None and j < i)
+        for k in range(len(b) - 99):
+            w = b[k : k + 100]
+            if any(before(j) and w in o.encode() for j, o in docs) or b.find(w) < k:
+                gone |= set(range(k, k + 100))
+        runs = sum(x - 1 not in gone for x in gone)
+        want.append((i, len(b), len(gone), runs, hashlib.sha256(bytes(x for k, x in enumerate(b) if k not in gone)).hexdigest()))
+    got = [tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in rows(suffix_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)))]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("rounds", [0, 1, 2])
 def test_suffix_sort_finds_what_the_earliest_place_does_not_hold(spark, rounds, monkeypatch):
     """Texts that share one core in many surroundings: most matches are with other texts than the earliest."""
@@ -423,6 +446,16 @@ def test_licences_of_real_files(spark):
     }
 
 
+def test_license_scan_takes_rows_one_by_one(spark, tmp_path):
+    """Rows that repeat a doc_id, or have none, have licences of their own."""
+    mit = "Released under the MIT License."
+    docs = [(1, mit, "a"), (1, "plain words here", "b"), (None, mit, "c"), (None, "nothing at all", "d"), (2, mit, "a"), (2, mit, "a"), (3, None, "e"), (4, "", "e")]
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r["doc_id"], r["license"], r["how"]) for r in rows(license_scan.op8_license_scan(spark, str(tmp_path)))), key=str)
+    want = [(1, "MIT", "own"), (1, None, "none"), (None, "MIT", "own"), (None, None, "none"), (2, "MIT", "own"), (2, "MIT", "own"), (3, None, "none"), (4, None, "none")]
+    assert got == sorted(want, key=str)
+
+
 # op9
 
 
