@@ -78,21 +78,6 @@ def unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """node, component (smallest node reached) of an edge table (a, b), by min-label rounds; each round's table is checkpointed."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component")).withColumnRenamed("a", "node")
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
-        new = labels.join(near, labels.node == near.a, "left").select("node", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved"))
-        new = new.checkpoint()
-        moved = new.where("moved").isEmpty()
-        labels = new.drop("moved")
-        if moved:
-            return labels
-    raise RuntimeError("components did not settle")
-
-
 def split_by_order(df: DataFrame, order: Sequence[str], ratios: Sequence[float], name: str = "part") -> DataFrame:
     """Temporal split: rows in order, cut at int(n * cumulated ratio); part 0, 1, ... Ranks come from range partitions, not one task."""
     n = df.count()

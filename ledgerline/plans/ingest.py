@@ -47,7 +47,7 @@ def r2_current_price(spark, folder):
 @query(f"""WITH {TICKS}, c AS (SELECT key, min(ts) + INTERVAL 20 DAY AS cutoff FROM k GROUP BY key)
 SELECT k.key, count(*) FILTER (WHERE ts < cutoff) AS in_time, count(*) FILTER (WHERE ts >= cutoff) AS late, arg_max(price, (ts, event_id)) FILTER (WHERE ts < cutoff) AS price FROM k JOIN c ON k.key = c.key GROUP BY k.key""")
 def r3_late_data(spark, folder):
-    """Observations at or after a key's cut-off never change its state."""
+    """Observations at or after a key's cut-off never change its state."""
     t = ticks(spark, folder).select("event_id", "key", "ts", "price")
     cut = t.groupBy("key").agg((F.min("ts") + F.expr("interval 20 days")).alias("cutoff"))
     ok = F.col("ts") < F.col("cutoff")
@@ -63,13 +63,13 @@ def n8_state_at(spark, folder):
 
 @query(f"""WITH {TICKS}, w AS (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS d, price FROM k) SELECT event_type, epoch(d)::BIGINT AS day, count(*) AS n, round(avg(price), 6) AS mean FROM w WHERE d + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) FROM k) - INTERVAL 1 DAY GROUP BY ALL""")
 def r8_streamed_rates(spark, folder):
-    """Daily counts and means by type from a stream with a watermark of a day (R8, N23): Structured Streaming in append mode, the days that are closed after one run over what is there."""
+    """Daily counts and means by type from a stream with a watermark of a day (R8): Structured Streaming in append mode, the days that are closed after one run over what is there."""
     return streamed_rates(spark, folder).select("event_type", "day", "n", r6("mean").alias("mean"))
 
 
 @query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN o_totalprice IS NULL THEN 'missing_price' WHEN o_totalprice < 1000 THEN 'price_low' WHEN o_totalprice > 200000 THEN 'price_high' WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'not_listed' ELSE 'ok' END AS reason FROM orders) GROUP BY reason""")
 def q1_screening(spark, folder):
-    """Rows with the first rule that rejects them."""
+    """Rows with the first rule that rejects them (Q1, Q3)."""
     p = F.col("o_totalprice")
     reason = F.when(p.isNull(), "missing_price").when(p < 1000, "price_low").when(p > 200000, "price_high").when(~F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM"), "not_listed").otherwise("ok")
     return table(spark, folder, "orders").select(reason.alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
@@ -91,14 +91,14 @@ def q7_orphans(spark, folder):
 @query("""WITH k AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), '\\b(fc|cf|sc|ac|afc|club|the|de)\\b', '', 'g')) AS key FROM part)
 SELECT key, count(*) AS n, min(p_partkey) AS first_key FROM k GROUP BY key HAVING count(*) > 1""")
 def q6_alias_index(spark, folder):
-    """Normalised names claimed by several rows resolve to none."""
+    """Normalised names claimed by several rows resolve to none."""
     k = table(spark, folder, "part").select("p_partkey", names.club_key(F.col("p_name")).alias("key"))
     return k.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_key")).where("n > 1")
 
 
 @query("""SELECT event_type, count(*) AS n, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS mean_k, max(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS max_k FROM events GROUP BY event_type""")
 def x33_json_numbers(spark, folder):
-    """Numeric members of JSON objects as features."""
+    """Numeric members of JSON objects as features."""
     e = table(spark, folder, "events").select("event_type", names.flat_numbers(F.col("props"))["k"].alias("k"))
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("k")).alias("mean_k"), F.max("k").alias("max_k"))
 
@@ -117,7 +117,7 @@ def r6_alert_dedup(spark, folder):
 @query("""WITH c AS (SELECT l_orderkey AS target, l_partkey AS child, l_shipdate, l_suppkey FROM lineitem WHERE l_returnflag = 'R'), h AS (SELECT DISTINCT l_orderkey AS target FROM lineitem WHERE l_returnflag = 'A')
 SELECT target, child FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY l_shipdate DESC, child DESC) AS rn FROM c WHERE target NOT IN (SELECT target FROM h)) WHERE rn = 1""")
 def n20_repointing(spark, folder):
-    """The latest child for each target that has none yet."""
+    """The latest child for each target that has none yet."""
     li = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("target"), F.col("l_partkey").alias("child"), "l_shipdate", "l_returnflag")
     c = li.where("l_returnflag = 'R'").join(li.where("l_returnflag = 'A'").select("target"), "target", "left_anti")
     return latest_by(c.select("target", "child", "l_shipdate"), ["target"], [F.desc("l_shipdate"), F.desc("child")]).select("target", "child")

@@ -60,7 +60,7 @@ def x5_devig_shin(spark, folder):
 @query(f"""WITH {_BOOKS}, f AS (SELECT match_id, book, h, a, (1 / h) / (1 / h + 1 / a) AS fair, 1 / h + 1 / a - 1 AS margin FROM b WHERE h IS NOT NULL AND a IS NOT NULL)
 SELECT match_id, count(*) AS n_books, round(avg(fair), 6) AS consensus, round(max(h) - min(h), 6) AS spread, round(stddev_pop(h), 6) AS sd, round(avg(margin), 6) AS margin, round(max(h), 6) AS best_home, count(*) >= 3 AS enough FROM f GROUP BY match_id""")
 def d36_consensus(spark, folder):
-    """Consensus over books: fair mean, range, population deviation, margin, at least three books."""
+    """Consensus over books: fair mean, range, population deviation, margin, at least three books."""
     f = two_way(spark, folder).withColumn("fair", prices.devig_proportional(F.col("o"))[0]).withColumn("m", 1 / F.col("h") + 1 / F.col("a") - 1)
     return f.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_books"), r6(F.avg("fair")).alias("consensus"), r6(F.max("h") - F.min("h")).alias("spread"), r6(F.stddev_pop("h")).alias("sd"), r6(F.avg("m")).alias("margin"), r6(F.max("h")).alias("best_home"), (F.count(F.lit(1)) >= 3).alias("enough"))
 
@@ -136,7 +136,7 @@ s AS (SELECT a.race_id, a.entrant_id, sum(b.p * a.p / (1 - b.p)) AS second FROM
 SELECT r.race_id, r.entrant_id, round(r.p, 6) AS win, round(least(r.p + coalesce(s.second, 0), 1), 6) AS top_2, CASE WHEN runners <= 4 THEN 0 WHEN runners <= 7 THEN 2 ELSE 3 END AS places, CASE WHEN runners <= 4 THEN 0.0 WHEN runners <= 7 THEN 0.25 ELSE 0.2 END AS fraction
 FROM r LEFT JOIN s ON r.race_id = s.race_id AND r.entrant_id = s.entrant_id""")
 def x13_harville(spark, folder):
-    """Win and top-two probabilities by Harville, and each-way terms (X13, X14, J4): P(2nd) = p (S - p / (1 - p)) with S = sum p / (1 - p), so no pairs are made."""
+    """Win and top-two probabilities by Harville, and each-way terms (X14): P(2nd) = p (S - p / (1 - p)) with S = sum p / (1 - p), so no pairs are made."""
     by = Window.partitionBy("race_id")
     e = races(spark, folder).where(~F.col("scratched")).withColumn("p", (1 / F.col("odds")) / F.sum(1 / F.col("odds")).over(by)).withColumn("n", F.count(F.lit(1)).over(by))
     share = F.try_divide(F.col("p"), 1 - F.col("p"))

@@ -28,7 +28,7 @@ def j6_asof_price(spark, folder):
 
 @query(f"WITH {QUOTES} SELECT match_id, selection, max(odds) AS best, arg_max(book, (odds, -book)) AS best_book, count(*) AS books FROM q GROUP BY match_id, selection")
 def w3_best_price(spark, folder):
-    """Latest price of each book and selection, then the best with its book (W1, W3, W4, J8): two aggregates, no window sort."""
+    """Latest price of each book and selection, then the best with its book (W1, W3): two aggregates, no window sort."""
     return quotes(spark, folder).groupBy("match_id", "selection").agg(F.max("odds").alias("best"), F.max_by("book", F.struct("odds", -F.col("book"))).alias("best_book"), F.count(F.lit(1)).alias("books"))
 
 
@@ -166,7 +166,7 @@ def u3_tagged_union(spark, folder):
 @query("""WITH old AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0), new AS (SELECT c_custkey AS k, c_acctbal * 2 AS v FROM customer WHERE c_custkey % 2 = 0)
 SELECT coalesce(old.k, new.k) AS k, round(coalesce(new.v, old.v), 4) AS merged, round(coalesce(old.v, new.v), 4) AS ignored FROM old FULL JOIN new ON old.k = new.k""")
 def s9_upsert(spark, folder):
-    """Upsert and insert-or-ignore as table algebra."""
+    """Upsert and insert-or-ignore as table algebra."""
     c = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
     old, new = c.where("k % 3 <> 0"), c.where("k % 2 = 0").withColumn("v", F.col("v") * 2)
     merged = upsert(old, new, ["k"]).select("k", F.round("v", 4).alias("merged"))

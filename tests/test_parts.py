@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import grading, names, prices
-from ledgerline.operators.relational import asof_join, changed, components, insert_ignore, latest_by, optional, split_by_order, unique, upsert
+from ledgerline.operators.relational import asof_join, changed, insert_ignore, latest_by, optional, split_by_order, unique, upsert
 from ledgerline.plans.details import default_rate_level
 from ledgerline.plans.markets import mass, score_grid
 from ledgerline.plans.relations import greedy_sessions
@@ -70,8 +70,6 @@ def test_table_operators(spark):
     assert rows(latest_by(old, ["v"], [F.desc("k")])) == [(1, "a"), (2, "b")]
     with pytest.raises(ValueError):
         unique(old.unionByName(old), ["k"])
-    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long")
-    assert rows(components(edges)) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
     parts = split_by_order(spark.range(10), ["id"], [0.6, 0.2, 0.2])
     assert [r.part for r in parts.orderBy("id").collect()] == [0] * 6 + [1] * 2 + [2] * 2
 
