@@ -6,12 +6,13 @@ stand for itself, for a longer word that it shortens, or for the first letters o
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .names import folded
-
 # Words that name no club, words that name another side of a club, and what each kind of likeness is worth.
 GENERIC_WORDS = (
     "fc", "afc", "cf", "sc", "ac", "as", "aj", "bk", "sk", "fk", "ff", "if", "ik", "ifk", "aif", "is",
@@ -26,11 +27,34 @@ EQUAL, EXPANDED, CONTAINED, PARTIAL = 1.0, 0.95, 0.9, 0.85
 MARGIN = 0.05
 
 _ANY = "[a-z0-9]*"
+#: What the compatibility forms of Latin letters spell that one character cannot.
+_LIGATURES = ("ﬀ", "ﬁ", "ﬂ", "ﬃ", "ﬄ", "ﬅ", "ﬆ", "ĳ", "Ĳ", "ǆ", "Ǆ", "ǅ", "ǉ", "Ǉ", "ǈ", "ǌ", "Ǌ", "ǋ", "ŉ")
+
+
+@lru_cache(1)
+def _accents() -> tuple[str, str]:
+    """Characters that decompose (NFKD) to one letter or digit and combining marks, and those letters; then the combining marks, which have none."""
+    kept: list[tuple[str, str]] = []
+    marks = []
+    for c in map(chr, range(0xA0, 0x10000)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if not plain:
+            marks.append(c)
+        elif len(plain) == 1 and plain != c and plain.isascii() and plain.isalnum():
+            kept.append((c, plain))
+    return "".join(c for c, _ in kept) + "".join(marks), "".join(x for _, x in kept)
+
+
+def unaccented(name: Column) -> Column:
+    """name without accents: each character's compatibility decomposition without its combining marks, by a table made from the Unicode data."""
+    for c in _LIGATURES:
+        name = F.replace(name, F.lit(c), F.lit("".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))))
+    return F.translate(name, *_accents())
 
 
 def words_of(name: Column) -> Column:
     """The words that tell a club: folded, lower case, apostrophes dropped, runs of single letters joined, generic words left out unless there are no others."""
-    plain = F.regexp_replace(F.translate(folded(F.coalesce(name, F.lit(""))), "'’", ""), "[^0-9a-z]+", " ")
+    plain = F.regexp_replace(F.translate(F.lower(unaccented(F.coalesce(name, F.lit("")))), "'’", ""), "[^0-9a-z]+", " ")
     joined = F.regexp_replace(F.btrim(plain), r"\b([a-z]) (?=[a-z]\b)", "$1")
     every = F.filter(F.split(joined, " "), lambda w: w != "")
     own = F.filter(every, lambda w: ~w.isin(*GENERIC_WORDS))

@@ -36,7 +36,7 @@ def devig_power(odds: Column, to: Column | float = 1.0, steps: int = 10) -> Colu
     return F.when(F.forall(odds, lambda o: o > 1) & (F.size(odds) > 1), F.coalesce(fair, devig_proportional(odds, to))).otherwise(devig_proportional(odds, to))
 
 
-def devig_shin(odds: Column, steps: int = 80) -> Column:
+def devig_shin(odds: Column, steps: int = 45) -> Column:
     """Shin's fair probabilities, insider share z in [0, 0.5] by bisection."""
     raw = F.transform(odds, implied)
     book = total(raw)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.sources.work import stored
+
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key in the given total order (DISTINCT ON for n = 1); Spark limits the groups before the shuffle."""
@@ -91,8 +93,8 @@ def split_by_order(df: DataFrame, order: Sequence[str], ratios: Sequence[float],
 
 
 def global_rank(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Row number of a total order over the whole table: sorted range partitions, numbered with the counts of those before."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).persist()
+    """Row number of a total order over the whole table: sorted range partitions, numbered with the counts of those before. The ranges are stored, so that their bounds stay."""
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()), "ranked")
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # one row for each partition
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))

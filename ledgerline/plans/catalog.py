@@ -1,3 +1,3 @@
 """Imports the query modules, which register themselves."""
 
-from . import catalogs, decisions, details, features, feeds, fits, frames, gates, identity, ingest, lookups, markets, monitoring, payloads, records, relations, settlement, streams  # noqa: F401
+from . import catalogs, decisions, details, feature_sets, features, feeds, fits, frames, gates, identity, ingest, lookups, markets, monitoring, payloads, records, relations, settlement, streams  # noqa: F401

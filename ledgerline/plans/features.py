@@ -248,15 +248,23 @@ def elo_stream(start: float, factor: float, edge: float):
                 score = 1.0 if m.home_score > m.away_score else 0.5 if m.home_score == m.away_score else 0.0
                 step = factor * math.log(abs(m.home_score - m.away_score) + 2) * (score - 1 / (1 + 10 ** ((a - h - edge) / 400)))
                 rating[m.home_id], rating[m.away_id] = h + step, a - step
-                out.append((m.match_id, m.league_id, round(h, 6), round(a, 6)))
+                out.append((m.match_id, m.league_id, h, a))
             yield pd.DataFrame(out, columns=["match_id", "league_id", "home_elo", "away_elo"])
 
     return run
 
 
-@query()
+_SCORE = "CASE WHEN x > y THEN 1.0 WHEN x = y THEN 0.5 ELSE 0.0 END"
+_STEP = f"20 * ln(abs(x - y) + 2) * ({_SCORE} - 1 / (1 + pow(10, (a - h - 60) / 400)))"
+
+
+@query(f"""WITH RECURSIVE {MATCHES}, o AS (SELECT league_id, match_id, home_id, away_id, home_score AS x, away_score AS y, row_number() OVER (PARTITION BY league_id ORDER BY match_date, match_id) AS i FROM m WHERE status = 'finished'),
+ g(league_id, i, r, match_id, h, a) AS (SELECT DISTINCT league_id, 0::BIGINT, MAP([]::BIGINT[], []::DOUBLE[]), NULL::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE FROM o
+ UNION ALL SELECT league_id, i, map_concat(r, MAP([home_id, away_id], [h + {_STEP}, a - {_STEP}])), match_id, h, a FROM (SELECT o.*, r, coalesce(element_at(r, home_id)[1], 1500.0::DOUBLE) AS h, coalesce(element_at(r, away_id)[1], 1500.0::DOUBLE) AS a FROM g JOIN o ON o.league_id = g.league_id AND o.i = g.i + 1))
+SELECT match_id, league_id, round(h, 4) AS home_elo, round(a, 4) AS away_elo FROM g WHERE i > 0""")
 def n1_sequential_elo(spark, folder):
     """True sequential Elo per league (N1, W19): each rating depends on all results before, so a league is one ordered fold; leagues run in parallel."""
     m = matches(spark, folder).where("status = 'finished'").select("match_id", "match_date", "league_id", "home_id", "away_id", "home_score", "away_score")
     m = m.repartition("league_id").sortWithinPartitions("league_id", "match_date", "match_id")
-    return m.mapInPandas(elo_stream(1500.0, 20.0, 60.0), "match_id long, league_id long, home_elo double, away_elo double")
+    rated = m.mapInPandas(elo_stream(1500.0, 20.0, 60.0), "match_id long, league_id long, home_elo double, away_elo double")
+    return rated.select("match_id", "league_id", F.round("home_elo", 4).alias("home_elo"), F.round("away_elo", 4).alias("away_elo"))

@@ -54,7 +54,7 @@ _MASS = f"({_SHIN.format(z=_Z, p='p')} + {_SHIN.format(z=_Z, p='r')})"
 SELECT match_id, book, round({_SHIN.format(z=_Z, p='p')}, 5) AS home, round({_SHIN.format(z=_Z, p='r')}, 5) AS away FROM s WHERE i = 60""")
 def x5_devig_shin(spark, folder):
     """Shin's margin removal, the insider share by bisection."""
-    return two_way(spark, folder).withColumn("p", prices.devig_shin(F.col("o"), steps=60)).select("match_id", "book", F.round(F.col("p")[0], 5).alias("home"), F.round(F.col("p")[1], 5).alias("away"))
+    return two_way(spark, folder).withColumn("p", prices.devig_shin(F.col("o"))).select("match_id", "book", F.round(F.col("p")[0], 5).alias("home"), F.round(F.col("p")[1], 5).alias("away"))
 
 
 @query(f"""WITH {_BOOKS}, f AS (SELECT match_id, book, h, a, (1 / h) / (1 / h + 1 / a) AS fair, 1 / h + 1 / a - 1 AS margin FROM b WHERE h IS NOT NULL AND a IS NOT NULL)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,15 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerline.sources.work import shared_dir
+
 
 def shared(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share; where spark.checkpoint.dir isn't set, a local one in local mode only, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='stream-')}"
-    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:

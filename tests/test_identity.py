@@ -87,6 +87,17 @@ def test_words_and_tiers_of_all_pairs(spark):
     assert seen == {0.0, 0.85, 0.9, 0.95, 1.0}
 
 
+def test_accents_go_as_the_decomposition_has_it(spark):
+    texts = [chr(c) for c in range(0x20, 0x3000) if not 0xD800 <= c < 0xE000] + list(identity._LIGATURES) + ["e\u0301ǆ Ł ø ß İstanbul", "Ålesund 1ª", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("t", identity.unaccented(F.col("t")).alias("u")).collect()
+    for r in rows:
+        want = None if r.t is None else "".join(c for c in unicodedata.normalize("NFKD", r.t) if not unicodedata.combining(c))
+        # What is left after words are split is what counts; compatibility forms of several characters outside the Latin letters are left as they are.
+        if want is None or len(want) <= 1 or r.t in identity._LIGATURES or len(r.t) > 1:
+            keep = lambda x: re.sub("[^0-9A-Za-z]+", " ", x) if x is not None else None
+            assert keep(r.u) == keep(want), r.t
+
+
 def outcome(scores, least, margin=0.05):
     best = sorted(scores, reverse=True)
     if not best or best[0] < least:
