@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerline.functions.catalog import HOCKEY_FINAL, HOCKEY_REGULATION, SOCCER, TOP_SCORES, cells, margin_tilt, overtime, prices, top_scores
+from ledgerline.functions.catalog import HOCKEY_FINAL, HOCKEY_REGULATION, SOCCER, TOP_SCORES, cells, prices, top_scores
+from ledgerline.functions.grids import after_overtime, priced, scores, tilted
 from ledgerline.operators.fits import margin_factors, means, tau
 from ledgerline.sources.views import table
+from ledgerline.sources.work import spread
 
 from .fits import fitted, played
 from .registry import query
@@ -18,7 +23,7 @@ _GRID = f"""r AS (SELECT p_partkey AS match_id, {_HOME} AS home, {_AWAY} AS away
 
 
 def rates(spark, folder):
-    return table(spark, folder, "part").select(F.col("p_partkey").alias("match_id"), F.expr(_HOME).cast("double").alias("home"), F.expr(_AWAY).cast("double").alias("away"))
+    return spread(table(spark, folder, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("match_id"), F.expr(_HOME).cast("double").alias("home"), F.expr(_AWAY).cast("double").alias("away"))
 
 
 def _sql(catalog, grid: str) -> str:
@@ -63,14 +68,12 @@ _TARGET = "0.35 + (p_partkey % 31) / 100.0"
 def d27_hockey_catalog(spark, folder):
     """The hockey catalog from two coupled grids (D27): regulation scores with factors by margin, tilted so that decided games go to the home side as often as a price says, and final scores, in which overtime
     resolves every tie. Regulation markets read the first, all others the second. Stand-ins: factors, overtime share and price."""
-    gap, factor = F.abs(F.col("i") - F.col("j")), F.lit(0.0)
-    for m, v in FACTORS.items():
-        factor = F.when(gap == m, v).otherwise(factor)
-    g = cells(rates(spark, folder), SIZE).withColumn("p", F.col("p") * F.exp(factor)).withColumn("target", F.expr(_TARGET.replace("p_partkey", "match_id")).cast("double"))
-    regulation = margin_tilt(g, ["match_id"], F.col("target")).drop("theta")
-    final = overtime(regulation, ["match_id"], SIZE, F.lit(SHARE)).groupBy("match_id", "i", "j").agg(F.sum("p").alias("p"))
-    out = prices(regulation, ["match_id"], HOCKEY_REGULATION).unionByName(prices(final, ["match_id"], HOCKEY_FINAL)).unionByName(top_scores(final, ["match_id"]))
-    return out.withColumn("prob", F.round("prob", 6))
+    size, share = SIZE, SHARE
+    factor = np.array([math.exp(FACTORS.get(abs(i - j), 0.0)) for i in range(SIZE + 1) for j in range(SIZE + 1)])
+    regulation = lambda h, a, t: tilted(scores(h, a, size) * factor, t, size)
+    final = lambda h, a, t: after_overtime(regulation(h, a, t), size, share)
+    target = F.expr(_TARGET.replace("p_partkey", "match_id"))
+    return priced(rates(spark, folder), "match_id", [F.col("home"), F.col("away"), target], SIZE, [(HOCKEY_REGULATION, regulation), (HOCKEY_FINAL, final)]).withColumn("prob", F.round("prob", 6))
 
 
 @query()
