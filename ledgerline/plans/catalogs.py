@@ -7,9 +7,9 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerline.functions.catalog import HOCKEY_FINAL, HOCKEY_REGULATION, SOCCER, TOP_SCORES, cells, prices, top_scores
-from ledgerline.functions.grids import after_overtime, priced, scores, tilted
-from ledgerline.operators.fits import margin_factors, means, tau
+from ledgerline.functions.catalog import HOCKEY_FINAL, HOCKEY_REGULATION, SOCCER, TOP_SCORES
+from ledgerline.functions.grids import after_overtime, corrected, priced, scores, tilted
+from ledgerline.operators.fits import margin_factors, means
 from ledgerline.sources.views import table
 from ledgerline.sources.work import spread
 
@@ -44,11 +44,9 @@ def _ranked(grid: str) -> str:
 def d25_soccer_catalog(spark, folder):
     """Every market of the soccer catalog from a corrected grid of scores (D25): results, double chance, totals, both score, handicaps with quarter lines, team totals, clean sheets, wins to nil, odd or even,
     exact totals, margins, combinations, correct scores. The oracle shares the list of conditions; a test computes the markets with arrays."""
-    h, a, low = F.col("home"), F.col("away"), F.lit(1.0)
-    for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)):
-        low = F.when((F.col("i") == i) & (F.col("j") == j), tau(i, j, h, a, RHO)).otherwise(low)
-    g = cells(rates(spark, folder), SIZE).withColumn("p", F.col("p") * low)
-    return prices(g, ["match_id"], SOCCER).unionByName(top_scores(g, ["match_id"])).withColumn("prob", F.round("prob", 6))
+    size, rho = SIZE, RHO
+    grid = lambda h, a: corrected(scores(h, a, size), h, a, size, rho)
+    return priced(rates(spark, folder), "match_id", [F.col("home"), F.col("away")], SIZE, [(SOCCER, grid)]).withColumn("prob", F.round("prob", 6))
 
 
 FACTORS = {0: 0.3, 1: -0.5, 3: 0.4}

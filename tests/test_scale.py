@@ -32,3 +32,13 @@ def test_hockey_catalog_is_that_of_the_cells_without_a_join(spark, sf):
     plain = catalog.prices(tilted, ["match_id"], catalog.HOCKEY_REGULATION).unionByName(catalog.prices(final, ["match_id"], catalog.HOCKEY_FINAL)).unionByName(catalog.top_scores(final, ["match_id"]))
     want = {tuple(r[:3]): r.prob for r in plain.collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_soccer_catalog_is_that_of_the_cells_without_an_aggregate(spark, sf):
+    assert "HashAggregate" not in plan_of(spark, sf, "d25_soccer_catalog")
+    size, rates = 10, spark.createDataFrame([*[r[:3] for r in RATES], (6, None, 1.0)], "match_id long, home double, away double")
+    got = {tuple(r[:3]): r.prob for r in grids.priced(rates, "match_id", [F.col("home"), F.col("away")], size, [(catalog.SOCCER, lambda h, a: grids.scores(h, a, size))]).collect()}
+    g = catalog.cells(rates.where("home is not null"), size)
+    want = {tuple(r[:3]): r.prob for r in catalog.prices(g, ["match_id"], catalog.SOCCER).unionByName(catalog.top_scores(g, ["match_id"])).collect()}
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert {k for k in got if k[0] != 6} == want.keys() and all(v is None for k, v in got.items() if k[0] == 6 and k[1] != "correct_score")
