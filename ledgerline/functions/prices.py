@@ -36,20 +36,23 @@ def devig_power(odds: Column, to: Column | float = 1.0, steps: int = 10) -> Colu
     return F.when(F.forall(odds, lambda o: o > 1) & (F.size(odds) > 1), F.coalesce(fair, devig_proportional(odds, to))).otherwise(devig_proportional(odds, to))
 
 
-def devig_shin(odds: Column, steps: int = 45) -> Column:
-    """Shin's fair probabilities, insider share z in [0, 0.5] by bisection."""
+def devig_shin(odds: Column, steps: int = 8) -> Column:
+    """Shin's fair probabilities, insider share z in [0, 0.5] by Newton's steps from 0: with c = p * p / book and r = sqrt(z * z + 4 * (1 - z) * c) an outcome's share is
+    (r - z) / (2 * (1 - z)) = 2 * c / (r + z), which falls in z."""
     raw = F.transform(odds, implied)
     book = total(raw)
-    fair = lambda p, z: (F.sqrt(z * z + 4 * (1 - z) * p * p / book) - z) / (2 * (1 - z))
-    mass = lambda z: F.aggregate(raw, F.lit(0.0), lambda a, p: a + fair(p, z))
-
-    def half(state: Column, _: Column) -> Column:
-        mid = (state["lo"] + state["hi"]) / 2
-        more = mass(mid) > 1
-        return F.struct(F.when(more, mid).otherwise(state["lo"]).alias("lo"), F.when(more, state["hi"]).otherwise(mid).alias("hi"))
-
-    z = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("lo"), F.lit(0.5).alias("hi")), half, lambda s: (s["lo"] + s["hi"]) / 2)
-    return F.when(F.forall(odds, lambda o: o > 1), F.element_at(F.transform(F.array(z), lambda x: F.transform(raw, lambda p: fair(p, x))), 1))
+    within = lambda x, f: F.get(F.transform(F.array(x), f), 0)
+    root = lambda c, z: F.sqrt(z * z + 4 * (1 - z) * c)
+    add = lambda a, c, z, r: F.struct((a["s"] + 2 * c / (r + z)).alias("s"), (a["d"] - 2 * c * ((z - 2 * c) / r + 1) / ((r + z) * (r + z))).alias("d"))
+
+    def solved(squares: Column) -> Column:
+        sums = lambda z: F.aggregate(squares, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("d")), lambda a, c: within(root(c, z), lambda r: add(a, c, z, r)))
+        step = lambda z, _: within(sums(z), lambda x: F.least(F.greatest(z - (x["s"] - 1) / x["d"], F.lit(0.0)), F.lit(0.5)))
+        z = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)
+        return within(z, lambda x: F.transform(squares, lambda c: 2 * c / (root(c, x) + x)))
+
+    squares = within(book, lambda b: F.transform(raw, lambda p: p * p / b))
+    return F.when(F.forall(odds, lambda o: o > 1), within(squares, solved))
 
 
 def expected_value(p: Column, odds: Column, push: Column | None = None) -> Column:

@@ -42,3 +42,16 @@ def test_soccer_catalog_is_that_of_the_cells_without_an_aggregate(spark, sf):
     want = {tuple(r[:3]): r.prob for r in catalog.prices(g, ["match_id"], catalog.SOCCER).unionByName(catalog.top_scores(g, ["match_id"])).collect()}
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
     assert {k for k in got if k[0] != 6} == want.keys() and all(v is None for k, v in got.items() if k[0] == 6 and k[1] != "correct_score")
+
+
+def test_shin_shares_in_few_steps(spark):
+    assert inspect.signature(prices.devig_shin).parameters["steps"].default <= 10
+    odds = [[1.5, 2.4], [1.01, 1.02], [6.0, 6.0], [1.2, 9.0, 30.0], [2.0, 2.0], [1.0001, 500.0], [3.1, 3.2, 2.4, 12.0, 50.0]]
+    for r in spark.createDataFrame([(o,) for o in odds], "o array<double>").select("o", prices.devig_shin(F.col("o")).alias("p")).collect():
+        raw = [1 / x for x in r.o]
+        book, lo, hi = sum(raw), 0.0, 0.5
+        fair = lambda z: [(math.sqrt(z * z + 4 * (1 - z) * p * p / book) - z) / (2 * (1 - z)) for p in raw]  # noqa: B023, E731
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(fair(mid)) > 1 else (lo, mid)
+        assert r.p == pytest.approx(fair((lo + hi) / 2), abs=1e-9)
