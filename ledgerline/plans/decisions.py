@@ -6,8 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
+from ledgerline.functions.grids import proportional
 from ledgerline.functions.prices import haversine
 from ledgerline.sources.views import MATCHES, PREDICTIONS, matches, predictions, table
+from ledgerline.sources.work import spread
 
 from .markets import _VALUE, value_rows
 from .registry import query
@@ -242,21 +244,16 @@ SELECT f.id, {", ".join(f"round(f.{k}, 6) AS {k}" for k in _CELLS)}, round(b.one
 def d24_fitted_marginals(spark, folder):
     """A score grid fitted to the market's result and total of 2.5 by iterative proportional fitting (D24). Stand-ins: a part is a match, its rates and prices come from its numbers, goals are independent.
 
-    Both marginals only see six blocks of the grid (result by under or over), so the fit runs on six numbers in the row, and all cells of a block share its factor."""
+    Both marginals only see six blocks of the grid (result by under or over), so the fit runs on six numbers in the row, an Arrow batch of rows at a time, and all cells of a block share its factor."""
     p, size = F.col("p_partkey"), F.col("p_size")
     goals = F.sequence(F.lit(0), F.lit(GOALS))
     raw = lambda rate: F.transform(goals, lambda i: F.pow(rate, i) / F.factorial(i))
     wh, wd, wa = size % 5 + 2, F.lit(2), p % 4 + 2
-    s = table(spark, folder, "part").select(p.alias("id"), raw((size % 10 + 5) / 10).alias("h"), raw((p % 8 + 5) / 10).alias("a"), F.array(*[w / (wh + wd + wa) for w in (wh, wd, wa)]).alias("t"), ((p % 7 + 2) / 10).alias("tv"))
+    s = spread(table(spark, folder, "part").select("p_partkey", "p_size")).select(p.alias("id"), raw((size % 10 + 5) / 10).alias("h"), raw((p % 8 + 5) / 10).alias("a"), F.array(*[w / (wh + wd + wa) for w in (wh, wd, wa)]).alias("t"), ((p % 7 + 2) / 10).alias("tv"))
     whole = added(F.col("h")) * added(F.col("a"))
     cell = lambda i, j: F.get("h", F.lit(i)) * F.get("a", F.lit(j))
     block = lambda test, over: sum((cell(i, j) for i in range(GOALS + 1) for j in range(GOALS + 1) if test(i - j) and (i + j > 2.5) == over), F.lit(0.0)) / whole
     s = s.select("id", "t", "tv", (cell(1, 1) / whole).alias("one_one"), F.array(*[block(*x) for x in _CELLS.values()]).alias("b"))
 
-    def step(b, _):
-        by_result = F.array(*[b[k] * F.get("t", F.lit(k // 2)) / (b[k // 2 * 2] + b[k // 2 * 2 + 1]) for k in range(6)])
-        both = lambda b: F.array(*[b[k] * (F.col("tv") if k % 2 else 1 - F.col("tv")) / (b[k % 2] + b[k % 2 + 2] + b[k % 2 + 4]) for k in range(6)])
-        return F.element_at(F.transform(F.array(by_result), both), 1)
-
-    f = s.select("*", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.col("b"), step).alias("f"))
+    f = s.select("*", proportional([F.get("b", F.lit(k)) for k in range(6)], [F.get("t", F.lit(k)) for k in range(3)], F.col("tv"), ROUNDS).alias("f"))
     return f.select("id", *[r6(F.get("f", F.lit(k))).alias(n) for k, n in enumerate(_CELLS)], r6(F.col("one_one") * F.get("f", F.lit(2)) / F.get("b", F.lit(2))).alias("one_one"))

@@ -55,3 +55,12 @@ def test_shin_shares_in_few_steps(spark):
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if sum(fair(mid)) > 1 else (lo, mid)
         assert r.p == pytest.approx(fair((lo + hi) / 2), abs=1e-9)
+
+
+def test_proportional_fitting_runs_by_batches(spark, sf):
+    assert "ArrowEvalPython" in plan_of(spark, sf, "d24_fitted_marginals")
+    df = spark.createDataFrame([(0.2, 0.25), (0.1, None)], "x double, v double")
+    cols = [F.col("x"), *[F.lit(v) for v in (0.2, 0.1, 0.1, 0.15, 0.25)]]
+    whole, none = df.select(grids.proportional(cols, [F.lit(0.5), F.lit(0.2), F.lit(0.3)], F.coalesce("v", F.lit(None).cast("double")), 100).alias("f")).collect()
+    assert [whole.f[0] + whole.f[1], whole.f[2] + whole.f[3], whole.f[1] + whole.f[3] + whole.f[5]] == pytest.approx([0.5, 0.2, 0.25])
+    assert all(v is None or math.isnan(v) for v in none.f)
