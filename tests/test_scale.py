@@ -64,3 +64,9 @@ def test_proportional_fitting_runs_by_batches(spark, sf):
     whole, none = df.select(grids.proportional(cols, [F.lit(0.5), F.lit(0.2), F.lit(0.3)], F.coalesce("v", F.lit(None).cast("double")), 100).alias("f")).collect()
     assert [whole.f[0] + whole.f[1], whole.f[2] + whole.f[3], whole.f[1] + whole.f[3] + whole.f[5]] == pytest.approx([0.5, 0.2, 0.25])
     assert all(v is None or math.isnan(v) for v in none.f)
+
+
+@pytest.mark.parametrize("name", ["d44_settled_bets", "d43_graded_markets"])
+def test_equal_scores_are_graded_once(spark, sf, name):
+    plan = plan_of(spark, sf, name)
+    assert "HashAggregate" in plan[plan.index("Generate") :]
