@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators.relational import sides
+from ledgerline.sources.work import dealt
 
 TEAMS = 50
 
@@ -75,8 +76,8 @@ PREDICTIONS = "p AS (SELECT doc_id, (doc_id * 37 % 101)::DOUBLE / 100 AS p, CASE
 
 
 def races(spark: SparkSession, folder: str) -> DataFrame:
-    """Race entrants: an order is a race, its suppliers the runners, with a price and a finishing order."""
-    li = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.max("l_partkey").alias("x"))
+    """Race entrants: an order is a race, its suppliers the runners, with a price and a finishing order. Dealt by race once, into parts of bounded size."""
+    li = dealt(table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey"), "l_orderkey").groupBy("l_orderkey", "l_suppkey").agg(F.max("l_partkey").alias("x"))
     return li.select(F.col("l_orderkey").alias("race_id"), F.col("l_suppkey").alias("entrant_id"), (F.lit(1.5) + F.pmod("x", F.lit(400)) / 20).alias("odds"), F.pmod(F.col("x") * 31, F.lit(997)).alias("pace"), (F.pmod("x", F.lit(23)) == 0).alias("scratched"))
 
 

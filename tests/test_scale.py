@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import catalog, grids, prices
 from ledgerline.plans import registry
+from ledgerline.sources import work
 
 registry.load()
 
@@ -75,3 +76,12 @@ def test_equal_scores_are_graded_once(spark, sf, name):
 def test_near_fixtures_shuffle_matches_and_no_pairs(spark, sf):
     plan = plan_of(spark, sf, "n22_near_fixtures")
     assert "Aggregate" not in plan and plan.count("SortMergeJoin") == 3
+
+
+def test_race_grading_deals_and_sorts_once(spark, sf):
+    plan = plan_of(spark, sf, "d47_race_grading")
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_parts_grow_with_the_rows(spark):
+    assert work.dealt(spark.range(1000), "id", 100).rdd.getNumPartitions() == 11
