@@ -16,9 +16,9 @@ word for a piece of a page, so that "share-buttons" goes and "share-price" stays
 Cases: null and empty html give an empty text; a null or odd url counts as host ""; page_id may repeat or be null, rows are
 treated one by one; unclosed and unknown elements are closed by their parents; an empty table gives no rows; other columns of pages
 are not read, whatever their names; of equally frequent skeletons of a host the greatest string is its wrapper, of equally
-frequent texts of a node the greatest hash. Pages of any length and depth are read whole, without recursion; where the
-matching tables of a page and its wrapper would take more than CELLS cells, children are paired from both ends instead. A
-node without a partner is no template, so no text is lost by that.
+frequent texts of a node the greatest hash. Pages of any length and depth are read and matched whole by one rule, without recursion:
+equal subtrees count once, and of a table of children only some rows are held. Where page and wrapper have many different subtrees
+under equal labels, time grows with the product of their numbers. A node without a partner is no template, so no text is lost by that.
 """
 
 from __future__ import annotations
@@ -40,7 +40,6 @@ from .common import ship, stored, table
 
 CONSTANT = 0.6
 LEAST = 3
-CELLS = 1 << 19
 SHORT = 20_000
 
 # Fixed values of HTML.
@@ -200,64 +199,99 @@ def unfold(skeleton: str) -> tuple[list[str], list[list[int]]]:
     return labels, children
 
 
-def _ends(la: list[str], ca: list[list[int]], lb: list[str], cb: list[list[int]]) -> list[int]:
-    """Partners by pairing children with equal labels from both ends."""
-    out, todo = [-1] * len(la), [(0, 0)]
-    while todo:
-        a, b = todo.pop()
-        out[a] = b
-        x, y = ca[a], cb[b]
-        head = 0
-        while head < min(len(x), len(y)) and la[x[head]] == lb[y[head]]:
-            todo.append((x[head], y[head]))
-            head += 1
-        tail = 1
-        while tail <= min(len(x), len(y)) - head and la[x[-tail]] == lb[y[-tail]]:
-            todo.append((x[-tail], y[-tail]))
-            tail += 1
-    return out
+def _shapes(trees: list[tuple[list[str], list[list[int]]]]) -> tuple[list[list[int]], list[tuple[str, list[int], int]]]:
+    """For each tree the number of each node's subtree, equal subtrees of all trees having equal numbers; of each number its label, its children and its size."""
+    numbers: dict[tuple, int] = {}
+    made: list[tuple[str, list[int], int]] = []
+    out = []
+    for labels, children in trees:
+        own = [0] * len(labels)
+        for i in range(len(labels) - 1, -1, -1):
+            below = [own[c] for c in children[i]]
+            key = (labels[i], *below)
+            if key not in numbers:
+                numbers[key] = len(made)
+                made.append((labels[i], below, 1 + sum(made[c][2] for c in below)))
+            own[i] = numbers[key]
+        out.append(own)
+    return out, made
+
+
+def _row(last: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """The next row of the table of largest matchings."""
+    row = np.maximum(last[1:], last[:-1] + worth)
+    return np.concatenate([last[:1], np.maximum.accumulate(row)])
+
+
+def _paired(worths: list[np.ndarray], size: int) -> tuple[int, list[tuple[int, int]]]:
+    """The largest sum of worths of pairs in order, and its pairs (of equal ones without the last child of the page, then of the wrapper). Of the table only every
+    k-th row is kept, k the root of their number, and the rows between are made again on the way back."""
+    m = len(worths)
+    step = max(1, int(m**0.5))
+    row = np.zeros(size + 1, np.int64)
+    kept = [row]
+    for i, w in enumerate(worths):
+        row = _row(row, w)
+        if (i + 1) % step == 0:
+            kept.append(row)
+    best, pairs, i, j = int(row[-1]), [], m, size
+    while i and j:
+        low = (i - 1) // step * step
+        rows = [kept[low // step]]
+        for w in worths[low:i]:
+            rows.append(_row(rows[-1], w))
+        while i > low and j:
+            here = rows[i - low]
+            if here[j] == rows[i - low - 1][j]:
+                i -= 1
+            elif here[j] == here[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+    return best, pairs
 
 
 def _aligned(page: str, wrapper: str) -> list[int]:
     (la, ca), (lb, cb) = unfold(page), unfold(wrapper)
     if page == wrapper:
         return list(range(len(la)))
-    # Of each pair of nodes with equal labels: the size of the largest matching below them, and the pairs of children in it.
+    (na, nb), shapes = _shapes([(la, ca), (lb, cb)])
+    # Of each pair of different subtrees with equal labels: the size of the largest matching, and the places of the children in it. Equal subtrees match whole,
+    # and a subtree without children matches by its root.
     known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-    stack, cells = [(0, 0)], 0
+
+    def worth(x: int, y: int) -> int | None:
+        if shapes[x][0] != shapes[y][0]:
+            return 0
+        if x == y or not shapes[x][1] or not shapes[y][1]:
+            return shapes[x][2] if x == y else 1
+        return known[x, y][0] if (x, y) in known else None
+
+    stack = [(na[0], nb[0])]
     while stack:
-        a, b = stack[-1]
-        if (a, b) in known:
+        x, y = stack[-1]
+        if worth(x, y) is not None:
             stack.pop()
             continue
-        m, n = len(ca[a]), len(cb[b])
-        cells += m * n + 1
-        if cells > CELLS:
-            return _ends(la, ca, lb, cb)
-        missing = [(x, y) for x in ca[a] for y in cb[b] if la[x] == lb[y] and (x, y) not in known]
+        below, under = shapes[x][1], shapes[y][1]
+        columns = set(under)
+        missing = [(c, d) for c in set(below) for d in columns if worth(c, d) is None]
         if missing:
             stack.extend(missing)
             continue
-        best = [[0] * (n + 1) for _ in range(m + 1)]
-        for i, x in enumerate(ca[a]):
-            for j, y in enumerate(cb[b]):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (known[x, y][0] if la[x] == lb[y] else 0))
-        pairs, i, j = [], m, n
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((ca[a][i], cb[b][j]))
-        known[a, b] = best[m][n] + 1, pairs
+        by_shape = {c: np.array([worth(c, d) for d in under], np.int64) for c in set(below)}
+        best, pairs = _paired([by_shape[c] for c in below], len(under))
+        known[x, y] = best + 1, pairs
         stack.pop()
     out, todo = [-1] * len(la), [(0, 0)]
     while todo:
         a, b = todo.pop()
         out[a] = b
-        todo.extend(known[a, b][1])
+        if na[a] == nb[b]:
+            todo.extend(zip(ca[a], cb[b], strict=True))
+        else:
+            todo.extend((ca[a][i], cb[b][j]) for i, j in known.get((na[a], nb[b]), (0, []))[1])
     return out
 
 
