@@ -91,10 +91,16 @@ def _covers(x: Column, y: Column, more: bool) -> Column:
     return F.when(F.size(x) == 1, initials).when(F.size(x) > 1, F.regexp_like(F.array_join(y, " "), pattern)).otherwise(False)
 
 
+def _in_order(x: Column, y: Column) -> Column:
+    """Whether the first letters of x occur in those of y in order, which every reading of the words of x as words of y needs; a short pattern, asked before the long one."""
+    return F.regexp_like(first_letters(y), F.array_join(F.transform(x, lambda w: F.substring(w, 1, 1)), ".*"))
+
+
 def inside(x: Column, y: Column) -> Column:
     """What it is worth that x, of as many words or fewer, lies in y."""
     fewer = (F.size(F.array_except(x, y)) == 0) & (F.size(F.array_except(y, x)) > 0)
-    return F.when(F.size(x) > F.size(y), 0.0).when(_covers(x, y, False), EXPANDED).when(fewer, CONTAINED).when(_covers(x, y, True), PARTIAL).otherwise(0.0)
+    likely = _in_order(x, y)
+    return F.when(F.size(x) > F.size(y), 0.0).when(likely & _covers(x, y, False), EXPANDED).when(fewer, CONTAINED).when(likely & _covers(x, y, True), PARTIAL).otherwise(0.0)
 
 
 def tier(incoming: Column, known: Column) -> Column:

@@ -6,24 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.identity import CONTAINED, EQUAL, MARGIN, PARTIAL, bigrams, block_ratio, index_terms, inside, side_of, tier, words_of
-from ledgerline.sources.work import stored
+from ledgerline.sources.work import spread, stored
 
 
 def _candidates(left: DataFrame, right: DataFrame, block: str, left_terms: Column, right_terms: Column) -> DataFrame:
-    """Distinct pairs of rows (l, r: structs of the rows) of a block that share a term."""
+    """Distinct pairs of rows (l, r: structs of the rows) of a block that share a term. Both sides grow with the input, and the size of exploded rows is
+    guessed from the files that they come from, so the join is a merge: neither side goes through the driver."""
     a = left.select(F.col(block).alias("_b"), F.struct(*left.columns).alias("l"), F.explode(left_terms).alias("_t"))
     b = right.select(F.col(block).alias("_b"), F.struct(*right.columns).alias("r"), F.explode(right_terms).alias("_t"))
-    return a.join(b, ["_b", "_t"]).select("l", "r").distinct()
+    return a.join(b.hint("merge"), ["_b", "_t"]).select("l", "r").distinct()
 
 
 def verdicts(names: DataFrame, scored: DataFrame, least: float, margin: float = MARGIN) -> DataFrame:
     """name_id, outcome, club_id, score, runner_up of every name. scored: name_id, club_id, score above 0 for each candidate.
 
-    The best must reach least and be ahead of the next by margin; both are aggregates, so no group of candidates is sorted."""
-    best = scored.groupBy("name_id").agg(F.max(F.struct("score", (-F.col("club_id")).alias("k"))).alias("best"), F.count(F.lit(1)).alias("n"))
+    The best must reach least and be ahead of the next by margin; both are aggregates, so no group of candidates is sorted. All joins are of tables
+    with a row for each name, so they are merges."""
+    best = scored.groupBy("name_id").agg(F.max(F.struct("score", (-F.col("club_id")).alias("k"))).alias("best"))
     # The next best is the best of the others.
-    others = scored.join(best.select("name_id", (-F.col("best.k")).alias("_first")), "name_id").where("club_id <> _first").groupBy("name_id").agg(F.max("score").alias("next"))
-    x = names.select("name_id").join(best, "name_id", "left").join(others, "name_id", "left")
+    others = scored.join(best.select("name_id", (-F.col("best.k")).alias("_first")).hint("merge"), "name_id").where("club_id <> _first").groupBy("name_id").agg(F.max("score").alias("next"))
+    x = names.select("name_id").join(best.hint("merge"), "name_id", "left").join(others.hint("merge"), "name_id", "left")
     score, runner_up = F.coalesce("best.score", F.lit(0.0)), F.coalesce("next", F.lit(0.0))
     outcome = F.when(score < least, "no-match").when(score - runner_up >= margin - 1e-9, "matched").otherwise("ambiguous")
     return x.select("name_id", outcome.alias("outcome"), F.when(outcome == "matched", -F.col("best.k")).alias("club_id"), F.when(score >= least, score).otherwise(0.0).alias("score"), F.when(score >= least, runner_up).otherwise(0.0).alias("runner_up"))
@@ -34,12 +36,12 @@ def resolve_clubs(names: DataFrame, clubs: DataFrame, as_of, active_days: int =
 
     Candidates share a term of an inverted index that misses no pair of a tier above 0. A club whose words lie inside another club's
     cannot win from inside a name; containment reaches only clubs that played within active_days."""
-    keyed = clubs.select("club_id", "country", "last_played", words_of(F.col("name")).alias("words"))
-    incoming = names.select("name_id", "country", words_of(F.col("name")).alias("words"))
+    keyed = stored(spread(clubs).select("club_id", "country", "last_played", words_of(F.col("name")).alias("words")), "words")
+    incoming = stored(spread(names).select("name_id", "country", words_of(F.col("name")).alias("words")), "words")
     terms = index_terms(F.col("words"))
     mates = _candidates(keyed.select("club_id", "country", "words"), keyed.select("club_id", "country", "words"), "country", terms, terms).where("l.club_id <> r.club_id")
     held = mates.where((side_of(F.col("l.words")) == side_of(F.col("r.words"))) & (inside(F.col("l.words"), F.col("r.words")) > 0)).select(F.col("l.club_id").alias("club_id"), F.lit(True).alias("held")).distinct()
-    marked = stored(keyed.join(held, "club_id", "left").select("club_id", "country", "last_played", "words", F.coalesce("held", F.lit(False)).alias("held")), "clubs")
+    marked = stored(keyed.join(held.hint("merge"), "club_id", "left").select("club_id", "country", "last_played", "words", F.coalesce("held", F.lit(False)).alias("held")), "clubs")
     pairs = _candidates(incoming, marked, "country", terms, terms)
     raw = pairs.select(F.col("l.name_id").alias("name_id"), F.col("r.club_id").alias("club_id"), tier(F.col("l.words"), F.col("r.words")).alias("raw"), inside(F.col("r.words"), F.col("l.words")).alias("in_name"), F.col("r.held").alias("held"), F.col("r.last_played").alias("last_played"))
     lost = (F.col("raw") < EQUAL) & (F.col("raw") == F.col("in_name")) & F.col("held")

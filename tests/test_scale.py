@@ -85,3 +85,7 @@ def test_race_grading_deals_and_sorts_once(spark, sf):
 
 def test_parts_grow_with_the_rows(spark):
     assert work.dealt(spark.range(1000), "id", 100).rdd.getNumPartitions() == 11
+
+
+def test_clubs_are_resolved_without_a_broadcast(spark, sf):
+    assert "Broadcast" not in plan_of(spark, sf, "q5_resolve_clubs")
