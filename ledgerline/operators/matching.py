@@ -52,14 +52,16 @@ def resolve_clubs(names: DataFrame, clubs: DataFrame, as_of, active_days: int =
 
 def resolve_spellings(names: DataFrame, clubs: DataFrame, least: float = 0.85) -> DataFrame:
     """Which club of its league each incoming name spells, by the ratio of matching blocks. names: name_id, name, league. clubs: club_id, name, league."""
-    plain = lambda c: F.array_join(words_of(F.col(c)), " ")
-    a = names.select("name_id", "league", plain("name").alias("text"), side_of(words_of(F.col("name"))).alias("side")).where("text <> ''")
-    b = clubs.select("club_id", "league", plain("name").alias("text"), side_of(words_of(F.col("name"))).alias("side")).where("text <> ''")
-    pairs = _candidates(a, b, "league", bigrams(F.col("text")), bigrams(F.col("text"))).where("l.side = r.side")
-    # What lengths alone forbid is not compared; equal pairs of texts are compared once.
-    texts = pairs.select(F.col("l.text").alias("x"), F.col("r.text").alias("y")).where(2 * F.least(F.length("x"), F.length("y")) >= (least - MARGIN) * (F.length("x") + F.length("y"))).distinct()
-    ratios = stored(texts.select("x", "y", block_ratio(F.col("y"), F.col("x")).alias("score")), "ratios")
-    scored = pairs.select("l.name_id", "r.club_id", F.col("l.text").alias("x"), F.col("r.text").alias("y")).join(ratios, ["x", "y"]).where(F.col("score") >= least - MARGIN).select("name_id", "club_id", "score")
+    worded = lambda df, key: spread(df).select(key, "league", words_of(F.col("name")).alias("w"))
+    plain = lambda df, key, c: stored(worded(df, key).select(key, "league", F.array_join("w", " ").alias(c), F.array_join(side_of(F.col("w")), " ").alias("side")).where(f"{c} <> ''"), "texts")
+    a, b = plain(names, "name_id", "y"), plain(clubs, "club_id", "x")
+    # The different texts of a league, which few letters in common would pair almost all of anyway; what lengths alone forbid is not compared.
+    likely = 2 * F.least(F.length("x"), F.length("y")) >= (least - MARGIN) * (F.length("x") + F.length("y"))
+    texts = a.select("league", "side", "y").distinct().join(b.select("league", "side", "x").distinct().hint("merge"), ["league", "side"]).where(likely)
+    # Pairs of texts that occur in many leagues are compared once.
+    ratios = stored(spread(texts.select("x", "y").distinct()).select("x", "y", block_ratio(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= least - MARGIN), "ratios")
+    alike = texts.join(ratios.hint("merge"), ["x", "y"])
+    scored = alike.join(a.hint("merge"), ["league", "side", "y"]).join(b.hint("merge"), ["league", "side", "x"]).select("name_id", "club_id", "score")
     return verdicts(names, stored(scored, "spellings"), least)
 
 

@@ -89,3 +89,7 @@ def test_parts_grow_with_the_rows(spark):
 
 def test_clubs_are_resolved_without_a_broadcast(spark, sf):
     assert "Broadcast" not in plan_of(spark, sf, "q5_resolve_clubs")
+
+
+def test_spellings_are_resolved_without_a_broadcast(spark, sf):
+    assert "Broadcast" not in plan_of(spark, sf, "x27_spellings")
