@@ -68,20 +68,25 @@ def resolve_spellings(names: DataFrame, clubs: DataFrame, least: float = 0.85) -
 def one_to_one(edges: DataFrame) -> DataFrame:
     """left, right: what a sequential pass gives in which each left in turn takes the free right it likes best. edges: left, turn, right, liking (less is better).
 
-    By rounds: a left that comes first among all that still want its best right can be sure of it, so all such pairs are fixed at once
-    and leave; in each round the first left of every chain of conflicts is settled. Likings and turns must be total orders."""
+    By rounds of offers: each left asks for the best right it still has an edge to, each right holds the first of those that ask, and all later lefts
+    lose their edges to it at once, since it will only ever be held by an earlier one. When every left is held the pairs are those of the pass: no earlier
+    left is held by a right that a later one has. Likings and turns must be total orders."""
     left = edges
-    done: list[DataFrame] = []
-    while not left.isEmpty():
-        best = left.groupBy("left").agg(F.min(F.struct("liking", "right", "turn")).alias("b")).select("left", "b.right", "b.turn")
-        first = left.groupBy("right").agg(F.min("turn").alias("first"))
-        fixed = stored(best.join(first, "right").where("turn = first").select("left", "right"), "fixed")
-        done.append(fixed)
-        left = stored(left.join(fixed.select("left"), "left", "left_anti").join(fixed.select("right"), "right", "left_anti"), "edges")
-    out = edges.select("left", "right").limit(0)
-    for d in done:
-        out = out.unionByName(d)
-    return out
+    while True:
+        asked = stored(left.groupBy("left").agg(F.min(F.struct("liking", "right", "turn")).alias("b")).select("left", "b.right", "b.turn"), "asked")
+        held = asked.groupBy("right").agg(F.min("turn").alias("first"))
+        n, taken = asked.agg(F.count("right"), F.countDistinct("right")).first()
+        if n == taken:
+            return asked.select("left", "right")
+        left = stored(left.join(held, "right", "left").where("first is null or turn <= first").drop("first"), "edges")
+
+
+def _likely_names(events: DataFrame, games: DataFrame, theirs: str, ours: str, least: float) -> DataFrame:
+    """x, y, r of the names of games and events of a snapshot whose ratio is least or more; each pair of names is compared once, however many rows have it."""
+    a = events.select("snapshot", F.col(theirs).alias("y")).distinct().select("snapshot", "y", F.explode(bigrams(F.col("y"))).alias("t"))
+    b = games.select("snapshot", F.col(ours).alias("x")).distinct().select("snapshot", "x", F.explode(bigrams(F.col("x"))).alias("t"))
+    pairs = a.join(b.hint("merge"), ["snapshot", "t"]).select("x", "y").distinct()
+    return stored(spread(pairs).select("x", "y", block_ratio(F.col("x"), F.col("y")).alias("r")).where(F.col("r") >= least), "likely")
 
 
 def assign_events(events: DataFrame, games: DataFrame, snapshots: DataFrame, hours: float = 3.0, least: float = 0.8) -> DataFrame:
@@ -98,20 +103,23 @@ def assign_events(events: DataFrame, games: DataFrame, snapshots: DataFrame, hou
     live = e.where("whole and not began")
     turn = F.col("event_id").alias("turn")
     liked = lambda score: F.struct(score.alias("score"), F.col("starts"), F.col("match_id").alias("at")).alias("liking")
-    same = live.join(g, (live.snapshot == g.snapshot) & (live.eh == g.gh) & (live.ea == g.ga)).where(apart)
+    same = live.join(g.hint("merge"), (live.snapshot == g.snapshot) & (live.eh == g.gh) & (live.ea == g.ga)).where(apart)
     exact = one_to_one(stored(same.select(F.col("event_id").alias("left"), turn, F.col("match_id").alias("right"), liked(F.lit(0.0))), "exact"))
-    rest = live.join(exact.select(F.col("left").alias("event_id")), "event_id", "left_anti").drop("whole", "began")
-    free = g.join(exact.select(F.col("right").alias("match_id")), "match_id", "left_anti")
-    # A mean of least needs one side that reaches it: pairs share a bigram of their home or of their away names.
-    pairs = _candidates(rest, free, "snapshot", F.transform(bigrams(F.col("eh")), lambda t: F.concat(F.lit("h"), t)), F.transform(bigrams(F.col("gh")), lambda t: F.concat(F.lit("h"), t))).unionByName(
-        _candidates(rest, free, "snapshot", F.transform(bigrams(F.col("ea")), lambda t: F.concat(F.lit("a"), t)), F.transform(bigrams(F.col("ga")), lambda t: F.concat(F.lit("a"), t)))
-    ).distinct()
-    near = stored(pairs.select("l.event_id", "l.commence", "l.eh", "l.ea", "r.match_id", "r.starts", "r.gh", "r.ga").where(apart), "near")
-    names = near.select(F.col("gh").alias("x"), F.col("eh").alias("y")).unionByName(near.select(F.col("ga").alias("x"), F.col("ea").alias("y"))).distinct()
-    ratios = stored(names.select("x", "y", block_ratio(F.col("x"), F.col("y")).alias("r")), "ratios")
-    side = lambda x, y, name: ratios.select(F.col("x").alias(x), F.col("y").alias(y), F.col("r").alias(name))
-    scored = near.join(side("gh", "eh", "rh"), ["gh", "eh"]).join(side("ga", "ea", "ra"), ["ga", "ea"]).withColumn("score", (F.col("rh") + F.col("ra")) / 2).where(F.col("score") >= least)
+    # Only snapshots that still have an event and only names, not rows, are compared.
+    rest = stored(live.join(exact.select(F.col("left").alias("event_id")).hint("merge"), "event_id", "left_anti").drop("whole", "began"), "rest")
+    free = stored(g.join(exact.select(F.col("right").alias("match_id")).hint("merge"), "match_id", "left_anti").join(rest.select("snapshot").distinct(), "snapshot", "left_semi"), "free")
+    # A mean of least needs one side that reaches it: the home names first, then pairs of which only the away names do.
+    home, away = _likely_names(rest, free, "eh", "gh", least), _likely_names(rest, free, "ea", "ga", least)
+    side = lambda ratios, x, y, name: ratios.select(F.col("x").alias(x), F.col("y").alias(y), F.col("r").alias(name))
+    by_home = lambda e, g: e.join(side(home, "gh", "eh", "rh"), "eh").join(g.hint("merge"), ["snapshot", "gh"])
+    by_away = lambda e, g: e.join(side(away, "ga", "ea", "ra"), "ea").join(g.hint("merge"), ["snapshot", "ga"]).join(side(home, "gh", "eh", "rh").drop("rh"), ["gh", "eh"], "left_anti")
+    # What the other side's names are worth, again by pairs of names.
+    event_names, game_names = rest.select("snapshot", "eh", "ea").distinct(), free.select("snapshot", "gh", "ga").distinct()
+    other = by_home(event_names, game_names).select(F.col("ga").alias("x"), F.col("ea").alias("y")).unionByName(by_away(event_names, game_names).select(F.col("gh").alias("x"), F.col("eh").alias("y"))).distinct()
+    ratios = stored(spread(other).select("x", "y", block_ratio(F.col("x"), F.col("y")).alias("r")).where(F.col("r") >= 2 * least - 1 - 1e-9), "ratios")
+    near = lambda pairs: pairs.where(apart).select("event_id", "match_id", "starts", ((F.col("rh") + F.col("ra")) / 2).alias("score")).where(F.col("score") >= least)
+    scored = near(by_home(rest, free).join(side(ratios, "ga", "ea", "ra"), ["ga", "ea"])).unionByName(near(by_away(rest, free).join(side(ratios, "gh", "eh", "rh"), ["gh", "eh"])))
     fuzzy = one_to_one(stored(scored.select(F.col("event_id").alias("left"), turn, F.col("match_id").alias("right"), liked(-F.col("score"))), "fuzzy"))
     found = exact.withColumn("how", F.lit("exact")).unionByName(fuzzy.withColumn("how", F.lit("fuzzy"))).select(F.col("left").alias("event_id"), F.col("right").alias("match_id"), "how")
     how = F.coalesce("how", F.when(F.col("whole") & F.col("began"), "started").otherwise("unmatched"))
-    return e.join(found, "event_id", "left").select("event_id", "match_id", how.alias("how"))
+    return e.join(found.hint("merge"), "event_id", "left").select("event_id", "match_id", how.alias("how"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import catalog, grids, prices
+from ledgerline.operators import matching
 from ledgerline.plans import registry
 from ledgerline.sources import work
 
@@ -93,3 +94,9 @@ def test_clubs_are_resolved_without_a_broadcast(spark, sf):
 
 def test_spellings_are_resolved_without_a_broadcast(spark, sf):
     assert "Broadcast" not in plan_of(spark, sf, "x27_spellings")
+
+
+def test_names_of_events_and_games_are_compared_once(spark):
+    rows = lambda a: spark.createDataFrame([(s, n) for s in "uv" for n in ("red lions", "blue lines") for _ in range(5)], f"snapshot string, {a} string")
+    got = matching._likely_names(rows("eh"), rows("gh"), "eh", "gh", 0.8).collect()
+    assert sorted((r.x, r.y, r.r) for r in got) == [("blue lines", "blue lines", 1.0), ("red lions", "red lions", 1.0)]
