@@ -46,10 +46,11 @@ def _accents() -> tuple[str, str]:
 
 
 def unaccented(name: Column) -> Column:
-    """name without accents: each character's compatibility decomposition without its combining marks, by a table made from the Unicode data."""
+    """name without accents: each character's compatibility decomposition without its combining marks, by a table made from the Unicode data (X24). Names of one byte a letter have none."""
+    plain = name
     for c in _LIGATURES:
-        name = F.replace(name, F.lit(c), F.lit("".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))))
-    return F.translate(name, *_accents())
+        plain = F.replace(plain, F.lit(c), F.lit("".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))))
+    return F.when(F.octet_length(name) == F.length(name), name).otherwise(F.translate(plain, *_accents()))
 
 
 def words_of(name: Column) -> Column:
@@ -57,8 +58,9 @@ def words_of(name: Column) -> Column:
     plain = F.regexp_replace(F.translate(F.lower(unaccented(F.coalesce(name, F.lit("")))), "'’", ""), "[^0-9a-z]+", " ")
     joined = F.regexp_replace(F.btrim(plain), r"\b([a-z]) (?=[a-z]\b)", "$1")
     every = F.filter(F.split(joined, " "), lambda w: w != "")
-    own = F.filter(every, lambda w: ~w.isin(*GENERIC_WORDS))
-    return F.when(F.size(own) > 0, own).otherwise(every)
+    own = lambda ws: F.filter(ws, lambda w: ~w.isin(*GENERIC_WORDS))
+    # Inside a lambda the words are made once, not for each use.
+    return F.get(F.transform(F.array(every), lambda ws: F.when(F.size(own(ws)) > 0, own(ws)).otherwise(ws)), 0)
 
 
 def side_of(words: Column) -> Column:
@@ -152,10 +154,12 @@ def matched_letters(a: str, b: str) -> int:
 
 
 def block_ratio(a: Column, b: Column) -> Column:
-    """Twice the matching letters over all letters of two texts; 1 for two empty ones. An Arrow batch at a time."""
+    """Twice the matching letters over all letters of two texts; 1 for two empty ones. An Arrow batch at a time.
+
+    It passes for not deterministic, as a filter on it would else be moved below the distinct and the shuffle that its pairs come from, and compare every row."""
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else 1.0 if not p and not q else 2 * matched_letters(p, q) / (len(p) + len(q)) for p, q in zip(x, y, strict=True)], dtype="float64")
 
-    return ratio(a, b)
+    return ratio.asNondeterministic()(a, b)

@@ -1,12 +1,16 @@
-"""Matching of records that carry names: clubs by tiers with a margin, spellings by ratio, and one-to-one assignment by rounds."""
+"""Matching of records that carry names: clubs by tiers with a margin, spellings by ratio, and one-to-one assignment by rounds or in turn."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.identity import CONTAINED, EQUAL, MARGIN, PARTIAL, bigrams, block_ratio, index_terms, inside, side_of, tier, words_of
-from ledgerline.sources.work import spread, stored
+from ledgerline.functions.identity import CONTAINED, EQUAL, MARGIN, PARTIAL, block_ratio, index_terms, inside, side_of, tier, words_of
+from ledgerline.sources.work import dealt, spread, stored
 
 
 def _candidates(left: DataFrame, right: DataFrame, block: str, left_terms: Column, right_terms: Column) -> DataFrame:
@@ -81,45 +85,154 @@ def one_to_one(edges: DataFrame) -> DataFrame:
         left = stored(left.join(held, "right", "left").where("first is null or turn <= first").drop("first"), "edges")
 
 
+def _mates(events: DataFrame, games: DataFrame, theirs: str, ours: str, least: float) -> DataFrame:
+    """snapshot, x, y: the different names of games and events of a snapshot whose lengths allow a ratio of least. Few letters in common would pair almost all of them anyway."""
+    a = events.select("snapshot", F.col(theirs).alias("y")).distinct()
+    b = games.select("snapshot", F.col(ours).alias("x")).distinct()
+    return a.join(b.hint("merge"), "snapshot").where(2 * F.least(F.length("x"), F.length("y")) >= (least - 1e-9) * (F.length("x") + F.length("y"))).select("snapshot", "x", "y")
+
+
 def _likely_names(events: DataFrame, games: DataFrame, theirs: str, ours: str, least: float) -> DataFrame:
     """x, y, r of the names of games and events of a snapshot whose ratio is least or more; each pair of names is compared once, however many rows have it."""
-    a = events.select("snapshot", F.col(theirs).alias("y")).distinct().select("snapshot", "y", F.explode(bigrams(F.col("y"))).alias("t"))
-    b = games.select("snapshot", F.col(ours).alias("x")).distinct().select("snapshot", "x", F.explode(bigrams(F.col("x"))).alias("t"))
-    pairs = a.join(b.hint("merge"), ["snapshot", "t"]).select("x", "y").distinct()
-    return stored(spread(pairs).select("x", "y", block_ratio(F.col("x"), F.col("y")).alias("r")).where(F.col("r") >= least), "likely")
+    pairs = _mates(events, games, theirs, ours, least).select("x", "y").distinct()
+    return stored(spread(pairs).select("x", "y", block_ratio(F.col("x"), F.col("y")).alias("r")).where(F.col("r") >= least - 1e-9), "likely")
+
+
+#: Kinds of rows of a pass in the order in which a snapshot's rows come: how alike names of the home and of the away side are, games, events.
+_HOME, _AWAY, _GAME, _EVENT = range(4)
+_ROW = "snapshot string, home string, away string, kind int, u long, v long"
+
+
+class _Free:
+    """Games of equal names, added in order of start: the first free one that starts in a span of time, without going over those taken again."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ids: list[int] = []
+        self.next = [0]
+
+    def add(self, start: int, match_id: int) -> None:
+        self.starts.append(start)
+        self.ids.append(match_id)
+        self.next.append(len(self.ids))
+
+    def first(self, since: int, until: int) -> int | None:
+        at = bisect_left(self.starts, since)
+        seen = []
+        while self.next[at] != at:
+            seen.append(at)
+            at = self.next[at]
+        for i in seen:
+            self.next[i] = at
+        return at if at < len(self.ids) and self.starts[at] <= until else None
+
+    def take(self, at: int) -> int:
+        self.next[at] = at + 1
+        return self.ids[at]
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _exact_in_turn(span: int):
+    """Rows sorted by snapshot, home, away, kind, u, v: each event in turn takes the first free game of its names; events come out with it, and games that stay free."""
+    schema = pa.schema([("snapshot", pa.string()), ("home", pa.string()), ("away", pa.string()), ("kind", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("found", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, free = None, _Free()
+        left = lambda: [(*names, _GAME, start, match_id, None) for at, (start, match_id) in enumerate(zip(free.starts, free.ids, strict=True)) if free.next[at] == at]
+        for batch in batches:
+            out = []
+            for snapshot, home, away, kind, u, v in _rows(batch):
+                if (snapshot, home, away) != names:
+                    out += left() if names else []
+                    names, free = (snapshot, home, away), _Free()
+                if kind == _GAME:
+                    free.add(u, v)
+                else:
+                    at = free.first(v - span, v + span)
+                    out.append((snapshot, home, away, kind, u, v, None if at is None else free.take(at)))
+            yield _batch(out, schema)
+        yield _batch(left() if names else [], schema)
+
+    return run
+
+
+def _fuzzy_in_turn(span: int, least: float, kept: int = 500_000):
+    """Rows sorted by snapshot, kind, u, v: each event in turn takes the free game of the best mean ratio. A snapshot's free games are held, by their names, and what
+    the names of its events ask for first; of that so many entries at most, after which it is found again."""
+    schema = pa.schema([("event_id", pa.int64()), ("match_id", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, free, alike, asked, entries = None, {}, {}, {}, 0
+        for batch in batches:
+            out = []
+            for snapshot, home, away, kind, u, v, r in _rows(batch):
+                if snapshot != now:
+                    now, free, alike, asked, entries = snapshot, {}, {}, {}, 0
+                if kind in (_HOME, _AWAY):
+                    alike.setdefault((kind, away), []).append((home, r))
+                    continue
+                if kind == _GAME:
+                    free.setdefault((home, away), _Free()).add(u, v)
+                    continue
+                best = asked.get((home, away))
+                if best is None:
+                    scores: dict[float, list[_Free]] = {}
+                    for x, rh in alike.get((_HOME, home), ()):
+                        for y, ra in alike.get((_AWAY, away), ()):
+                            if (rh + ra) / 2 >= least and (x, y) in free:
+                                scores.setdefault((rh + ra) / 2, []).append(free[x, y])
+                    if entries > kept:
+                        asked, entries = {}, 0
+                    best = asked[home, away] = [scores[k] for k in sorted(scores, reverse=True)]
+                    entries += 1 + sum(map(len, best))
+                taken = None
+                for games in best:
+                    firsts = [(g.starts[at], g.ids[at], at, i) for i, g in enumerate(games) if (at := g.first(v - span, v + span)) is not None]
+                    if firsts:
+                        *_, at, i = min(firsts)
+                        taken = games[i].take(at)
+                        break
+                out.append((u, taken))
+            yield _batch(out, schema)
+
+    return run
 
 
 def assign_events(events: DataFrame, games: DataFrame, snapshots: DataFrame, hours: float = 3.0, least: float = 0.8) -> DataFrame:
     """event_id, match_id, how (exact, fuzzy, unmatched, started) of every event of a snapshot.
 
-    events: event_id, snapshot, commence, home, away. games: match_id, snapshot, starts, home, away. snapshots: snapshot, taken_at.
+    events: event_id, snapshot, commence, home, away. games: match_id, snapshot, starts, home, away. snapshots: snapshot, taken_at. Ids are long.
     Exact names go first, each event to the first free game; then each event in turn to the free game of the best mean ratio of both
-    names, if that reaches least. Events that began when the snapshot was taken are left out."""
+    names, if that reaches least. Events that began when the snapshot was taken are left out.
+
+    Each pass streams through sorted partitions: the exact one holds the games of one pair of names of a snapshot, the other the free games of a snapshot.
+    Which names are alike is known before, each pair of names compared once."""
     spoken = lambda c: F.array_join(words_of(F.col(c)), " ")
-    e = events.join(snapshots, "snapshot", "left").select("event_id", "snapshot", "commence", spoken("home").alias("eh"), spoken("away").alias("ea"), (F.col("commence").isNotNull() & F.col("home").isNotNull() & F.col("away").isNotNull() & (F.col("home") != "") & (F.col("away") != "")).alias("whole"), (F.col("commence") <= F.col("taken_at")).alias("began"))
-    e = stored(e.withColumns({"began": F.coalesce("began", F.lit(False))}), "events")
-    g = stored(games.select("match_id", "snapshot", "starts", spoken("home").alias("gh"), spoken("away").alias("ga")), "games")
-    apart = F.abs(F.unix_micros(F.col("commence").cast("timestamp")) - F.unix_micros(F.col("starts").cast("timestamp"))) <= int(hours * 3.6e9)
-    live = e.where("whole and not began")
-    turn = F.col("event_id").alias("turn")
-    liked = lambda score: F.struct(score.alias("score"), F.col("starts"), F.col("match_id").alias("at")).alias("liking")
-    same = live.join(g.hint("merge"), (live.snapshot == g.snapshot) & (live.eh == g.gh) & (live.ea == g.ga)).where(apart)
-    exact = one_to_one(stored(same.select(F.col("event_id").alias("left"), turn, F.col("match_id").alias("right"), liked(F.lit(0.0))), "exact"))
-    # Only snapshots that still have an event and only names, not rows, are compared.
-    rest = stored(live.join(exact.select(F.col("left").alias("event_id")).hint("merge"), "event_id", "left_anti").drop("whole", "began"), "rest")
-    free = stored(g.join(exact.select(F.col("right").alias("match_id")).hint("merge"), "match_id", "left_anti").join(rest.select("snapshot").distinct(), "snapshot", "left_semi"), "free")
-    # A mean of least needs one side that reaches it: the home names first, then pairs of which only the away names do.
-    home, away = _likely_names(rest, free, "eh", "gh", least), _likely_names(rest, free, "ea", "ga", least)
-    side = lambda ratios, x, y, name: ratios.select(F.col("x").alias(x), F.col("y").alias(y), F.col("r").alias(name))
-    by_home = lambda e, g: e.join(side(home, "gh", "eh", "rh"), "eh").join(g.hint("merge"), ["snapshot", "gh"])
-    by_away = lambda e, g: e.join(side(away, "ga", "ea", "ra"), "ea").join(g.hint("merge"), ["snapshot", "ga"]).join(side(home, "gh", "eh", "rh").drop("rh"), ["gh", "eh"], "left_anti")
-    # What the other side's names are worth, again by pairs of names.
-    event_names, game_names = rest.select("snapshot", "eh", "ea").distinct(), free.select("snapshot", "gh", "ga").distinct()
-    other = by_home(event_names, game_names).select(F.col("ga").alias("x"), F.col("ea").alias("y")).unionByName(by_away(event_names, game_names).select(F.col("gh").alias("x"), F.col("eh").alias("y"))).distinct()
-    ratios = stored(spread(other).select("x", "y", block_ratio(F.col("x"), F.col("y")).alias("r")).where(F.col("r") >= 2 * least - 1 - 1e-9), "ratios")
-    near = lambda pairs: pairs.where(apart).select("event_id", "match_id", "starts", ((F.col("rh") + F.col("ra")) / 2).alias("score")).where(F.col("score") >= least)
-    scored = near(by_home(rest, free).join(side(ratios, "ga", "ea", "ra"), ["ga", "ea"])).unionByName(near(by_away(rest, free).join(side(ratios, "gh", "eh", "rh"), ["gh", "eh"])))
-    fuzzy = one_to_one(stored(scored.select(F.col("event_id").alias("left"), turn, F.col("match_id").alias("right"), liked(-F.col("score"))), "fuzzy"))
-    found = exact.withColumn("how", F.lit("exact")).unionByName(fuzzy.withColumn("how", F.lit("fuzzy"))).select(F.col("left").alias("event_id"), F.col("right").alias("match_id"), "how")
-    how = F.coalesce("how", F.when(F.col("whole") & F.col("began"), "started").otherwise("unmatched"))
-    return e.join(found.hint("merge"), "event_id", "left").select("event_id", "match_id", how.alias("how"))
+    e = events.join(snapshots, "snapshot", "left").select("event_id", "snapshot", "commence", spoken("home").alias("home"), spoken("away").alias("away"), (F.col("commence").isNotNull() & F.col("home").isNotNull() & F.col("away").isNotNull() & (F.col("home") != "") & (F.col("away") != "")).alias("whole"), (F.col("commence") <= F.col("taken_at")).alias("began"))
+    e = stored(e.withColumn("began", F.coalesce("began", F.lit(False))), "events")
+    g = stored(games.where("snapshot is not null and starts is not null").select("match_id", "snapshot", "starts", spoken("home").alias("home"), spoken("away").alias("away")), "games")
+    live = F.col("whole") & ~F.col("began") & F.col("snapshot").isNotNull()
+    out = e.where(~live).select("event_id", F.lit(None).cast("long").alias("match_id"), F.when(F.col("whole") & F.col("began"), "started").otherwise("unmatched").alias("how"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    row = lambda df, kind, u, v: df.select("snapshot", "home", "away", F.lit(kind).alias("kind"), u.cast("long").alias("u"), v.cast("long").alias("v"))
+    both = row(g, _GAME, micros("starts"), F.col("match_id")).unionByName(row(e.where(live), _EVENT, F.col("event_id"), micros("commence")))
+    span, names = int(hours * 3.6e9), ["snapshot", "home", "away"]
+    exact = stored(dealt(both, names).sortWithinPartitions(*names, "kind", "u", "v").mapInArrow(_exact_in_turn(span), f"{_ROW}, found long"), "exact")
+    rest = exact.where((F.col("kind") == _EVENT) & F.col("found").isNull()).drop("found")
+    # Only snapshots that still have an event, and only names, not rows, are compared.
+    free = exact.where(F.col("kind") == _GAME).drop("found").join(rest.select("snapshot").distinct().hint("merge"), "snapshot", "left_semi")
+    # A mean of least needs this of either side.
+    low = 2 * least - 1
+    alike = lambda kind, c: _mates(rest, free, c, c, low).join(_likely_names(rest, free, c, c, low).hint("merge"), ["x", "y"]).select("snapshot", F.col("x").alias("home"), F.col("y").alias("away"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("u"), F.lit(0).cast("long").alias("v"), "r")
+    left = stored(free.unionByName(rest).withColumn("r", F.lit(None).cast("double")).unionByName(alike(_HOME, "home")).unionByName(alike(_AWAY, "away")), "rest")
+    fuzzy = dealt(left, "snapshot").sortWithinPartitions("snapshot", "kind", "u", "v").mapInArrow(_fuzzy_in_turn(span, least), "event_id long, match_id long")
+    found = exact.where("found is not null").select(F.col("u").alias("event_id"), F.col("found").alias("match_id"), F.lit("exact").alias("how"))
+    return out.unionByName(found).unionByName(fuzzy.withColumn("how", F.when(F.col("match_id").isNotNull(), "fuzzy").otherwise("unmatched")))

@@ -36,7 +36,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def dealt(df: DataFrame, key: str, rows: int = 1_000_000) -> DataFrame:
-    """df partitioned by key into so many parts that none has many more than so many rows; the count is read from the files' footers."""
+def dealt(df: DataFrame, key: str | list[str], rows: int = 1_000_000) -> DataFrame:
+    """df partitioned by key, one column or several, into so many parts that none has many more than so many rows; the count is read from the files' footers."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, df.count() // rows + 1), key)
+    return df.repartition(max(least, df.count() // rows + 1), *([key] if isinstance(key, str) else key))

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.functions import catalog, grids, prices
+from ledgerline.functions import catalog, grids, identity, prices
 from ledgerline.operators import matching
 from ledgerline.plans import registry
 from ledgerline.sources import work
@@ -100,3 +100,25 @@ def test_names_of_events_and_games_are_compared_once(spark):
     rows = lambda a: spark.createDataFrame([(s, n) for s in "uv" for n in ("red lions", "blue lines") for _ in range(5)], f"snapshot string, {a} string")
     got = matching._likely_names(rows("eh"), rows("gh"), "eh", "gh", 0.8).collect()
     assert sorted((r.x, r.y, r.r) for r in got) == [("blue lines", "blue lines", 1.0), ("red lions", "red lions", 1.0)]
+
+
+def test_names_are_compared_after_the_distinct(spark):
+    """A filter on the ratio was moved below the distinct and the shuffle, so that every row was compared."""
+    pairs = spark.range(8).select(F.lit("a").alias("x"), F.col("id").cast("string").alias("y")).distinct()
+    plan = work.spread(pairs).select("x", identity.block_ratio(F.col("x"), F.col("y")).alias("r")).where("r > 0.5")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Exchange") < plan.index("HashAggregate")
+
+
+def test_a_longer_queue_takes_no_more_jobs(spark):
+    """Events that all want the same games were settled by rounds, some jobs each."""
+
+    def jobs(n):
+        at = "timestamp '2024-01-01 12:00:00'"
+        rows = lambda key, time, home: spark.range(n).selectExpr(f"id AS {key}", "'s' AS snapshot", f"{at} AS {time}", f"'{home}' AS home", "'blue lines' AS away")
+        spark.sparkContext.setJobGroup(f"queue-{n}", "queue")
+        got = matching.assign_events(rows("event_id", "commence", "red lion"), rows("match_id", "starts", "red lions"), spark.sql(f"SELECT 's' AS snapshot, {at} - INTERVAL 1 HOUR AS taken_at")).collect()
+        spark.sparkContext.setJobGroup("", "")
+        assert sorted((r.event_id, r.match_id, r.how) for r in got) == [(i, i, "fuzzy") for i in range(n)]
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"queue-{n}"))
+
+    assert jobs(40) <= jobs(2) + 5
