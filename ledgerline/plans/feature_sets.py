@@ -53,15 +53,19 @@ SELECT match_id, {", ".join(f"round(max_{s}, 6) AS current_{s}, round(opening_{s
  CASE WHEN h >= d AND h >= a THEN 1.0 WHEN a >= d AND a > h THEN -1.0 WHEN h + d + a IS NOT NULL THEN 0.0 END AS favourite, round(greatest(h, d, a) / (h + d + a), 6) + (h - h) + (d - d) + (a - a) AS favourite_prob, round(CASE WHEN h + d + a IS NOT NULL THEN avg_home / avg_away END, 6) AS home_away_ratio FROM p""")
 def d5_market_odds(spark, folder):
     """A match's price features (D5): best and opening prices, their movement and drift beyond 0.05, the spread of implied probabilities over two books or more, the margin of the mean prices, fair probabilities, favourite and
-    ratio where all three sides are quoted. One aggregate of a match's quotes."""
+    ratio where all three sides are quoted. One aggregate of a match's quotes.
+
+    A mean of doubles depends on the order of its sum, which SQL leaves open; here it is always that of the quotes, latest first. Rounding goes by the scaled value, as the SQL's does."""
     o, when = F.col("odds"), lambda s, x: F.when((F.col("selection") == s) & (F.col("odds") > 1), x)
-    aggs = [c for s in SIDES for c in (F.max(when(s, o)).alias(f"max_{s}"), F.avg(when(s, o)).alias(f"avg_{s}"), F.stddev_pop(when(s, 1 / o)).alias(f"std_{s}"), F.count(when(s, o)).alias(f"n_{s}"), F.min_by(when(s, o), when(s, F.struct("captured_at", "book"))).alias(f"opening_{s}"))]
-    g = quotes(spark, folder).groupBy("match_id").agg(*aggs).withColumns({k: 1 / F.col(f"avg_{s}") for k, s in (("h", "home"), ("d", "draw"), ("a", "away"))})
+    mean = lambda s: F.when(F.col(f"n_{s}") > 0, F.aggregate(F.reverse(F.array_sort(f"all_{s}")), F.lit(0.0), lambda total, x: total + x["odds"]) / F.col(f"n_{s}"))
+    aggs = [c for s in SIDES for c in (F.max(when(s, o)).alias(f"max_{s}"), F.collect_list(when(s, F.struct("captured_at", "book", "odds"))).alias(f"all_{s}"), F.stddev_pop(when(s, 1 / o)).alias(f"std_{s}"), F.count(when(s, o)).alias(f"n_{s}"), F.min_by(when(s, o), when(s, F.struct("captured_at", "book"))).alias(f"opening_{s}"))]
+    g = quotes(spark, folder).groupBy("match_id").agg(*aggs).withColumns({f"avg_{s}": mean(s) for s in SIDES}).withColumns({k: 1 / F.col(f"avg_{s}") for k, s in (("h", "home"), ("d", "draw"), ("a", "away"))})
     h, d, a = map(F.col, ("h", "d", "a"))
     total = h + d + a
-    r = lambda c, name: F.round(c, 6).alias(name)
+    rounded = lambda c: F.round(c * 1e6) / 1e6
+    r = lambda c, name: rounded(c).alias(name)
     move = lambda s: F.col(f"max_{s}") - F.col(f"opening_{s}")
-    each = [c for s in SIDES for c in (r(F.col(f"max_{s}"), f"current_{s}"), r(F.col(f"opening_{s}"), f"opening_{s}"), (F.round(move(s), 6) + 0.0).alias(f"movement_{s}"), F.when(F.col(f"n_{s}") >= 2, F.round(f"std_{s}", 6)).alias(f"spread_{s}"))]
+    each = [c for s in SIDES for c in (r(F.col(f"max_{s}"), f"current_{s}"), r(F.col(f"opening_{s}"), f"opening_{s}"), (rounded(move(s)) + 0.0).alias(f"movement_{s}"), F.when(F.col(f"n_{s}") >= 2, rounded(F.col(f"std_{s}"))).alias(f"spread_{s}"))]
     drift = [F.when(move(s) < -0.05, 1.0).when(move(s) > 0.05, -1.0).when(F.col(f"max_{s}").isNotNull(), 0.0).alias(f"drift_{s}") for s in ("home", "away")]
     whole = lambda c: F.when(total.isNotNull(), c)
     favourite = whole(F.when((h >= d) & (h >= a), 1.0).when((a >= d) & (a > h), -1.0).otherwise(0.0))

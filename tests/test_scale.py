@@ -1,9 +1,12 @@
 """How queries grow: what their plans join, shuffle and sort, and that faster ways give what the plain ones do."""
 
+import datetime
+import decimal
 import inspect
 import math
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +125,26 @@ def test_a_longer_queue_takes_no_more_jobs(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"queue-{n}"))
 
     assert jobs(40) <= jobs(2) + 5
+
+
+def test_market_odds_round_as_their_sql(spark, tmp_path):
+    """A ratio of 0.7865624999999999 is 786562.5 when scaled; the SQL of this match has one result, whatever the order of its sums."""
+    quotes = [(3, 84), (2, 809), (2, 541), (0, 682), (3, 254), (1, 808), (4, 579), (2, 243), (1, 411), (1, 437), (1, 550)]
+    spark.createDataFrame([(1, s, p, datetime.datetime(2000, 1, 1 + i)) for i, (s, p) in enumerate(quotes)], "l_orderkey long, l_suppkey long, l_partkey long, l_shipdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE["d5_market_odds"]).fetchall()
+    assert [tuple(r) for r in registry.QUERIES["d5_market_odds"](spark, str(tmp_path)).collect()] == [tuple(float(x) if isinstance(x, decimal.Decimal) else x for x in r) for r in want]
+
+
+def test_market_odds_have_one_order_of_sums(spark, tmp_path):
+    """Means no longer depend on how the quotes are dealt over files and tasks."""
+    rows = [(m, s, (m * 7 + s * 311) // 3 % 300 * 3, datetime.datetime(2000, 1, 1 + (m + s) % 28)) for m in range(400) for s in range(6)]
+    quotes = spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long, l_shipdate timestamp").unionByName(spark.createDataFrame([(m, s, p + 2, t) for m, s, p, t in rows], "l_orderkey long, l_suppkey long, l_partkey long, l_shipdate timestamp"))
+    got = []
+    for name, order in (("up", "l_suppkey"), ("down", "-l_suppkey")):
+        quotes.repartition(3, "l_suppkey").sortWithinPartitions(F.expr(order)).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        plan = registry.QUERIES["d5_market_odds"](spark, f"{tmp_path}/{name}")
+        assert "avg(" not in plan._jdf.queryExecution().optimizedPlan().toString()
+        got.append(sorted(map(tuple, plan.collect()), key=lambda r: r[0]))
+    assert got[0] == got[1]
